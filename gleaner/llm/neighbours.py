@@ -30,7 +30,7 @@ K = 5
 SAMPLE = 8192
 CELL, MAX_CELLS = 600, 4096
 CODEWORDS, LEVELS, BEAM = 64, 3, 4
-PROBES, RERANK = 8, 48
+PROBES, RERANK = 10, 128
 BLOCK_VECTORS, BLOCK_QUERIES = 2048, 2048
 GROUPS = 1000
 
@@ -151,7 +151,7 @@ def _search(index: DataFrame, books: list[list[np.ndarray]], k: int) -> DataFram
     own = F.pmod("id", F.col("vb")).cast("int")
     v = vectors.join(blocks, ["g", "cell"]).withColumn("i", own).withColumn("j", F.explode(F.expr("sequence(0, qb - 1)"))).select("g", "cell", "i", "j", "id", "code", "vec")
     own = F.pmod(F.xxhash64("id"), F.col("qb")).cast("int")
-    q = queries.join(blocks, ["g", "cell"]).withColumn("j", own).withColumn("i", F.explode(F.expr("sequence(0, vb - 1)"))).select("g", "cell", "i", "j", "id", "vec")
+    q = queries.join(blocks, ["g", "cell"]).withColumn("j", own).withColumn("i", F.explode(F.expr("sequence(0, vb - 1)"))).select(*(F.col(c).alias(f"q_{c}") for c in ("g", "cell", "i", "j", "id", "vec")))
 
     def block(key: tuple, vt: pa.Table, qt: pa.Table) -> pa.Table:
         b = sent.value[key[0].as_py()]
@@ -161,7 +161,7 @@ def _search(index: DataFrame, books: list[list[np.ndarray]], k: int) -> DataFram
             x = np.frombuffer(b"".join(vt.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim)
             code = np.frombuffer(b"".join(vt.column("code").to_pylist()), dtype=np.float32).reshape(len(x), LEVELS + 1)
             codes, ids = code[:, :LEVELS].astype(np.int32), vt.column("id").to_numpy()
-            mine, raw = qt.column("id").to_numpy(), qt.column("vec").to_pylist()
+            mine, raw = qt.column("q_id").to_numpy(), qt.column("q_vec").to_pylist()
             for s in range(0, len(mine), 128):
                 y = np.frombuffer(b"".join(raw[s : s + 128]), dtype=np.float32).reshape(-1, dim)
                 at, cosine = search_block(y, x, codes, code[:, LEVELS], b[0][key[1].as_py()], b[1:], k)
@@ -171,7 +171,7 @@ def _search(index: DataFrame, books: list[list[np.ndarray]], k: int) -> DataFram
         return pa.table({"id": a, "other": o, "cosine": c})
 
     keys = ("g", "cell", "i", "j")
-    return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(block, "id long, other long, cosine double")
+    return v.groupBy(*keys).cogroup(q.groupBy(*(f"q_{c}" for c in keys))).applyInArrow(block, "id long, other long, cosine double")
 
 
 def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import leakage, nearcopies, sharedspans
+from gleaner.llm import garbled, leakage, nearcopies, neighbours, packing, sharedspans, splitting
 from gleaner.runtime import table
 
 
@@ -18,6 +18,42 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.NearCopies(table(spark, d, "chunks"), "chunk_id", "text").groups("chunk_id")
 
 
+def _p2(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(splitting.items(table(spark, d, "chunks"), table(spark, d, "documents")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d).select("item_kind", "item_key").distinct()
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(neighbours.neighbours(table(spark, d, "vectors")))
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, d, "vectors"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(table(spark, d, "documents"))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "context_windows"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_pairs(leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_cases")))
 
@@ -37,10 +73,39 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_documents": p7_documents,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"""
+        WITH c AS (SELECT DISTINCT chunk_id, text, {_WORDS.format("text")} AS w FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
+        s AS (SELECT DISTINCT chunk_id, md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM c WHERE len(w) >= 3)),
+        n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY ALL),
+        common AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
+        SELECT a AS chunk_id_a, b AS chunk_id_b FROM common JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE m / (x.n + y.n - m) >= 0.6
+        UNION
+        SELECT x.chunk_id, y.chunk_id FROM c x JOIN c y ON x.text = y.text AND x.chunk_id < y.chunk_id""",
+    "p2_found": """
+        SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_key FROM chunks WHERE floor(length(text) / 4) > 512
+        UNION ALL
+        SELECT 'document', CAST(doc_id AS VARCHAR) FROM documents WHERE floor(length(text) / 4) > 512""",
+    "p7_found": f"""
+        WITH t AS (SELECT case_id, {_WORDS.format("query")} AS w FROM eval_cases UNION ALL SELECT case_id, {_WORDS.format("passage")} FROM eval_cases),
+        c AS (SELECT DISTINCT case_id, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT case_id, w, unnest(range(1, len(w) - 8)) AS i FROM t WHERE len(w) >= 10)),
+        d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+        g AS (SELECT doc_id, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM d WHERE len(w) >= 10))
+        SELECT DISTINCT case_id, doc_id FROM c JOIN g USING (g)""",
+}
