@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm import copies
+from gleaner.llm import bits, copies
 from gleaner.llm import textnum as tn
 from gleaner.runtime import table_in_shared_dir
 
@@ -60,7 +60,7 @@ def _shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(texts: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, cid, digest, symbols): symbols is empty for a text without shingles; cid stands for the id in eight bytes."""
+    """(id, digest, symbols): symbols is empty for a text without shingles."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +84,7 @@ def fingerprints(texts: DataFrame, id_col: str, text_col: str, words: int = SHIN
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(digests, type=pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(symbols.ravel()))], names=["id", "digest", "symbols"])
 
     rows = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return rows.mapInArrow(scan, "id string, digest binary, symbols array<int>").withColumn("cid", F.xxhash64("id"))
+    return rows.mapInArrow(scan, "id string, digest binary, symbols array<int>")
 
 
 def _ball_keys() -> list:
@@ -158,8 +158,10 @@ def candidates(prints: DataFrame) -> DataFrame:
     keys = prints.where("size(symbols) > 0").select("cid", F.explode(F.array(*_ball_keys())).alias("key"))
     met = table_in_shared_dir(keys.repartition("key").sortWithinPartitions("key").select("key", "cid").mapInArrow(_meet, "a long, b long, hot boolean").distinct(), "met")
     pairs = met.where("not hot").select("a", "b")
+    # a byte of each symbol is enough here: unequal symbols agree in it once in 256 times
+    small = prints.where("size(symbols) > 0").select("cid", F.transform("symbols", lambda x: F.pmod(x, F.lit(256)) - 128).cast("array<tinyint>").alias("symbols"))
     for c in ("a", "b"):
-        pairs = pairs.join(prints.select(F.col("cid").alias(c), F.col("symbols").alias(f"symbols_{c}")), c)
+        pairs = pairs.join(small.select(F.col("cid").alias(c), F.col("symbols").alias(f"symbols_{c}")), c)
     equal = F.aggregate(F.zip_with("symbols_a", "symbols_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
     near = pairs.where(equal >= LEAST_EQUAL).select("a", "b")
     hot = met.where("hot")
@@ -169,20 +171,24 @@ def candidates(prints: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, threshold: float, words: int) -> DataFrame:
     """(a, b, similarity) of the pairs whose shingle sets reach the threshold; a and b are ids.
 
-    The sets are compared as 32-bit hashes: two sets of 140 shingles hold a false match with probability 5e-6.
+    The sets are compared as 32-bit hashes: two sets of 140 shingles hold a false match with probability 5e-6. Texts that
+    are in no pair are dropped, before anything is shuffled, by a bit table of fixed size; the joins decide.
     """
 
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    maybe = bits.Filter(wanted, "cid")
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(maybe.holds(batch.column("cid").to_numpy())))
             all_texts = batch.column("text").to_pylist()
             for lo, hi in tn.passes(all_texts):
                 g, bounds = _shingles(all_texts[lo:hi], words)
                 small = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array((g >> tn.U64(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("cid").slice(lo, hi - lo), small], names=["id", "cid", "shingles"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     rows = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).withColumn("cid", F.xxhash64("id"))
-    found = rows.join(wanted, "cid", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id string, cid long, shingles array<int>")
+    found = rows.where("id is not null and text is not null").select("id", "cid", "text").mapInArrow(sets, "id string, cid long, shingles array<int>").dropDuplicates(["id"])
     a, b = (found.select(F.col("cid").alias(c), F.col("id").alias(f"id_{c}"), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -198,7 +204,8 @@ class NearCopies:
         ids = prints.select("id", "digest").distinct()
         self.classes = copies.classes(ids, "id", "digest")
         self.members = copies.members(ids, self.classes, "id", "digest")
-        reps = prints.join(self.classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+        reps = prints.groupBy("digest").agg(F.min("id").alias("id"), F.first("symbols").alias("symbols")).select("id", F.xxhash64("id").alias("cid"), "symbols")
+        reps = table_in_shared_dir(reps, "near-classes")
         self.ids = ids.select("id")
         self.pairs_of_classes = verify(table_in_shared_dir(candidates(reps), "near-candidates"), texts, id_col, text_col, threshold, words)
 
