@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
@@ -44,12 +44,13 @@ class BM25:
         A term that a query repeats counts repeatedly. Postings are counted for the queries' terms only; the corpus
         statistics cover every chunk, whatever is filtered afterwards.
         """
-        q = queries.select("qid", F.explode(tx.tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+        q = query_terms(queries)
         terms = q.select("term").distinct()
         tf = tokenized_.select("id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        stats = corpus_stats(tokenized_)  # one row
-        weighted = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        return self.weigh(q, tf, term_stats(tf), corpus_stats(tokenized_))
+
+    def weigh(self, q: DataFrame, tf: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+        weighted = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # stats is one row
         hit = q.join(weighted, "term").join(tf, "term")
         part = F.col("qtf") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
         return hit.groupBy("qid", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
@@ -60,6 +61,43 @@ class BM25:
         return top_k(scored if keep is None else scored.join(keep.select("id").distinct(), "id", "left_semi"), k)
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(qid, term, qtf)."""
+    return queries.select("qid", F.explode(tx.tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+BUCKETS = 64
+
+
+@dataclass(frozen=True)
+class Postings:
+    """A stored inverted index: postings in folders by the hash of their term, term and corpus statistics beside them."""
+
+    spark: SparkSession
+    path: str
+    bm25: BM25
+
+    @classmethod
+    def build(cls, tokenized_: DataFrame, path: str, bm25: BM25 | None = None) -> Postings:
+        """Writes the index; a bucket's postings are sorted by term, so row groups of other terms are skipped."""
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+        tf = tokenized_.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).withColumn("bucket", bucket)
+        tf.repartition("bucket", F.pmod(F.xxhash64("term", "id"), F.lit(4))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        spark = tokenized_.sparkSession
+        term_stats(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+        corpus_stats(tokenized_).write.mode("overwrite").parquet(f"{path}/corpus")
+        return cls(spark, path, bm25 or BM25())
+
+    def search(self, queries: DataFrame, k: int, keep: DataFrame | None = None) -> DataFrame:
+        """As ``BM25.search``; of the postings only the queries' buckets are read."""
+        q = query_terms(queries)
+        read = lambda name: self.spark.read.parquet(f"{self.path}/{name}")
+        buckets = [r[0] for r in q.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]  # BUCKETS at most
+        tf = read("postings").where(F.col("bucket").isin(buckets)).drop("bucket")
+        scored = self.bm25.weigh(q, tf, read("terms"), read("corpus"))
+        return top_k(scored if keep is None else scored.join(keep.select("id").distinct(), "id", "left_semi"), k)
+
+
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The k best rows of each qid, ranked from 1; equal scores in the order of ids."""
     if k <= 0:

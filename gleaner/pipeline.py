@@ -12,6 +12,7 @@ from gleaner.functions import text as tx
 from gleaner.operators import answer, dense, embed, evaluate, fusion, sparse, store
 from gleaner.operators.chunking import ChunkSettings, chunk_documents
 from gleaner.settings import RetrievalSettings
+from gleaner.runtime import table_in_shared_dir
 from gleaner.sources import loaders
 
 
@@ -24,6 +25,7 @@ class Engine:
     provider_name: str = "hashing"
     dimensions: int = 256
     index: DataFrame | None = None
+    postings: sparse.Postings | None = None
 
     # --- indexing ---
 
@@ -32,13 +34,18 @@ class Engine:
         chunks = chunk_documents(documents, self.chunking).dropDuplicates(["chunk_id"])
         rows = embed.embed(chunks, self.provider)
         self.index = rows if self.index is None else store.upsert(self.index, rows, "chunk_id")
+        self.postings = None
         return self.index
 
     def index_path(self, path: str, recursive: bool = True) -> DataFrame:
         return self.index_documents(loaders.load(self.spark, path, recursive))
 
+    def build_postings(self, path: str) -> None:
+        """Stores the inverted index; until the chunks change again, searches read only the buckets of their terms."""
+        self.postings = sparse.Postings.build(sparse.tokenized(self._index()), path, sparse.BM25(self.retrieval.k1, self.retrieval.b))
+
     def delete_documents(self, doc_ids: DataFrame) -> DataFrame:
-        self.index = store.delete(self._index(), doc_ids, "doc_id")
+        self.index, self.postings = store.delete(self._index(), doc_ids, "doc_id"), None
         return self.index
 
     def save(self, path: str) -> dict:
@@ -82,22 +89,24 @@ class Engine:
         k = max(s.candidates, s.top_k)
         vectors = with_vec.select(F.col("chunk_id").alias("id"), "vec")
         near = dense.search(embed.embed(q, self.provider, "query").select("qid", "vec"), vectors, k, self.dimensions)
-        tokenized = sparse.tokenized(chunks)
+        tokenized = sparse.tokenized(chunks) if self.postings is None else None
         keep = allowed.select(F.col("chunk_id").alias("id")) if filters else None
-        lexical = sparse.BM25(s.k1, s.b).search(q, tokenized, k, keep)
+        lexical = sparse.BM25(s.k1, s.b).search(q, tokenized, k, keep) if self.postings is None else self.postings.search(q, k, keep)
         merged = fusion.merge_legs(near, lexical, s.dense_weight, s.rrf_k)
-        rows = merged.join(q.select("qid", tx.tokens("query").alias("q")), "qid").join(chunks.select(F.col("chunk_id").alias("id"), "text", "source", tx.tokens("text").alias("tokens")), "id")
+        texts = chunks.select(F.col("chunk_id").alias("id"), "text", "source")
+        # tokens of the candidates only, and their texts again at the end: nothing wide travels through the ranking
+        rows = merged.join(q.select("qid", tx.tokens("query").alias("q")), "qid").join(texts.select("id", "text"), "id").withColumn("tokens", tx.tokens("text")).drop("text")
         rows = rows.withColumn("score", fusion.rerank_score("q", "tokens", "fused") if s.rerank else F.col("fused"))
         best = fusion.ranked(rows, s.top_k)
         if s.mmr_lambda < 1:
-            best = best.join(fusion.mmr(best.select("qid", "id", "position", "tokens", "score"), s.mmr_lambda), ["qid", "id"])
-            best = best.withColumn("position", F.col("mmr_rank"))
-        floored = fusion.score_floor(best, s.floor)
-        return floored.selectExpr("qid", "id", "cast(row_number() over (partition by qid order by position) as bigint) as position", "score", "text", "source", "retrieved_by")
+            best = fusion.mmr(best, s.mmr_lambda, keep=("score", "retrieved_by")).withColumnRenamed("mmr_rank", "position")
+        best = fusion.score_floor(best.select("qid", "id", "position", "score", "retrieved_by"), s.floor)
+        best = best.selectExpr("qid", "id", "cast(row_number() over (partition by qid order by position) as bigint) as position", "score", "retrieved_by")
+        return best.join(texts, "id").select("qid", "id", "position", "score", "text", "source", "retrieved_by")
 
     def answer(self, questions: DataFrame, filters: dict | None = None) -> DataFrame:
         """(qid, query, answer, confident, citations) with extractive answers."""
-        hits = self.retrieve(questions, filters=filters).cache()
+        hits = table_in_shared_dir(self.retrieve(questions, filters=filters), "hits")
         cited = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("position").alias("idx"), F.col("id").alias("chunk_id"), "source", F.round("score", 4).alias("score"), "retrieved_by", F.substring("text", 1, 120).alias("text")))).alias("citations"))
         return questions.select("qid", "query").join(answer.extractive_answers(questions, hits), "qid").join(cited, "qid", "left")
 
