@@ -1,7 +1,8 @@
 """Cutting oversized texts at natural boundaries (problem 2), by a recursive hierarchy of separators.
 
 A text is cut into sections (before headings); what is still too long into paragraphs, lines, sentences, words and at
-last characters. The cuts are then packed greedily into pieces up to the limit. Every piece after the first begins
+last characters. The parts are then packed greedily into pieces up to the limit; a piece that is well filled also ends before
+a section or paragraph that has to be cut itself. Every piece after the first begins
 exactly ``overlap`` before the end of the piece before it. Offsets are counted in characters of the item's own text and
 the estimate is computed from the piece, so neither ``char_start`` nor ``token_estimate`` of the input is read.
 
@@ -30,13 +31,16 @@ SEPARATORS = [
     re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』）]*"),
     re.compile(r"\s+"),
 ]
+#: Levels of the hierarchy (sections, paragraphs) whose boundaries a piece keeps before an oversized part.
+COARSE = 2
 _MARK = re.compile(r"[̀-ͯ᪰-᫿⃐-⃿︀-️︠-︯‍\U0001f3fb-\U0001f3ff]")
 
 
-def _cuts(text: str, lo: int, hi: int, most: int, level: int) -> Iterator[int]:
-    """Ends of the parts of text[lo:hi], each at most ``most`` long and cut by the coarsest separator that suffices."""
+def _cuts(text: str, lo: int, hi: int, most: int, level: int) -> Iterator[tuple[int, bool]]:
+    """Ends of the parts of text[lo:hi], each at most ``most`` long and cut by the coarsest separator that suffices; and
+    whether a section or paragraph that must be cut itself begins there."""
     if hi - lo <= most:
-        yield hi
+        yield hi, False
     elif level == len(SEPARATORS):
         while hi - lo > most:
             at = lo + most
@@ -44,29 +48,37 @@ def _cuts(text: str, lo: int, hi: int, most: int, level: int) -> Iterator[int]:
                 at -= 1
             if at == lo + 1:  # nothing but marks
                 at = lo + most
-            yield at
+            yield at, False
             lo = at
-        yield hi
+        yield hi, False
     else:
         ends = [m.end() for m in SEPARATORS[level].finditer(text, lo, hi)]
         if not ends or ends[-1] != hi:
             ends.append(hi)
         for end in ends:
             if end > lo:
+                if level < COARSE and end - lo > most:
+                    yield lo, True
                 yield from _cuts(text, lo, end, most, level + 1)
                 lo = end
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[int]:
-    """Begin and end of each piece, one after another: packed greedily, each at most ``limit`` characters long."""
+    """Begin and end of each piece, one after another: packed greedily, each at most ``limit`` characters long.
+
+    A piece that is filled to a quarter also ends before a section or paragraph that is too long to be added whole.
+    """
     out: list[int] = []
     begin = end = 0
-    for cut in _cuts(text, 0, len(text), limit - overlap, 0):
+    for cut, breaks in _cuts(text, 0, len(text), limit - overlap, 0):
         if cut - begin > limit:
             out += (begin, end)
             begin = end - overlap
         end = cut
-    return [*out, begin, end]
+        if breaks and end - begin - (overlap if out else 0) >= limit // 4:
+            out += (begin, end)
+            begin = end - overlap
+    return [*out, begin, end] if not out or end > out[-1] else out
 
 
 def estimate(chars: Column) -> Column:
