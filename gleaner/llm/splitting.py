@@ -33,7 +33,7 @@ SEPARATORS = [
 ]
 #: Levels of the hierarchy (sections, paragraphs) whose boundaries a piece keeps before an oversized part.
 COARSE = 2
-_MARK = re.compile(r"[̀-ͯ᪰-᫿⃐-⃿︀-️︠-︯‍\U0001f3fb-\U0001f3ff]")
+_MARK = re.compile(r"[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\u200d\U0001f3fb-\U0001f3ff]")
 
 
 def _cuts(text: str, lo: int, hi: int, most: int, level: int) -> Iterator[tuple[int, bool]]:
@@ -44,7 +44,7 @@ def _cuts(text: str, lo: int, hi: int, most: int, level: int) -> Iterator[tuple[
     elif level == len(SEPARATORS):
         while hi - lo > most:
             at = lo + most
-            while at > lo + 1 and (_MARK.match(text, at) or text[at - 1] == "‍"):
+            while at > lo + 1 and (_MARK.match(text, at) or text[at - 1] == "\u200d"):
                 at -= 1
             if at == lo + 1:  # nothing but marks
                 at = lo + most
