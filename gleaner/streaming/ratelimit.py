@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RATE, BURST, IDLE_S = 10.0, 20.0, 300
 
@@ -29,7 +30,7 @@ def _admit(times: list[float], tokens: float, last: float | None, rate: float, b
 def admit(requests: DataFrame, rate: float = RATE, burst: float = BURST, slice_rows: int = 100_000) -> DataFrame:
     """requests(key, ts, id) with ``admitted``. A client's bucket depends on all its earlier requests, so rows are sorted
     by client and time and walked partition by partition as a stream of batches: nothing but one bucket is held."""
-    schema = requests.schema.add("admitted", "boolean")
+    schema = T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType())])
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, tokens, last = None, burst, None
@@ -46,31 +47,24 @@ def admit(requests: DataFrame, rate: float = RATE, burst: float = BURST, slice_r
     return requests.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(walk, schema)
 
 
-class Bucket(StatefulProcessor):
-    """The same bucket over a stream; a client idle for ``IDLE_S`` seconds is forgotten (its bucket is full again)."""
-
-    def __init__(self, rate: float = RATE, burst: float = BURST):
-        self.rate, self.burst = rate, burst
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, last double", IDLE_S * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "id"])
-        tokens, last = self.state.get() if self.state.exists() else (self.burst, None)
+def admit_stream(requests: DataFrame, rate: float = RATE, burst: float = BURST) -> DataFrame:
+    """A stream of requests(key, ts, id) to (key, id, admitted), with one bucket kept per client. A client idle for
+    ``IDLE_S`` seconds is forgotten: its bucket is full again."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frame = pd.concat(list(frames)).sort_values(["ts", "id"])
+        tokens, last = state.get if state.exists else (burst, None)
         times = (frame["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
-        ok, tokens, last = _admit(times, tokens, last, self.rate, self.burst)
-        self.state.update((float(tokens), float(last)))
-        yield pd.DataFrame({"key": key[0], "id": frame["id"], "admitted": ok})
+        ok, tokens, last = _admit(times, tokens, last, rate, burst)
+        state.update((float(tokens), float(last)))
+        state.setTimeoutDuration(IDLE_S * 1000)
+        yield pd.DataFrame({"key": key[0], "id": frame["id"].to_numpy(), "admitted": ok})
 
-    def close(self) -> None:
-        pass
-
-
-def admit_stream(requests: DataFrame, rate: float = RATE, burst: float = BURST) -> DataFrame:
-    """A stream of requests(key, ts, id) to (key, id, admitted). Needs the RocksDB state store."""
     out = f"key {requests.schema['key'].dataType.simpleString()}, id {requests.schema['id'].dataType.simpleString()}, admitted boolean"
-    return requests.groupBy("key").transformWithStateInPandas(statefulProcessor=Bucket(rate, burst), outputStructType=out, outputMode="append", timeMode="processingTime")
+    return requests.groupBy("key").applyInPandasWithState(step, out, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def admitted_counts(admitted: DataFrame) -> DataFrame:

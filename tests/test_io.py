@@ -114,15 +114,20 @@ def test_token_bucket_stream(spark, tmp_path):
     start = datetime(2024, 1, 1)
     schema = "key string, ts timestamp_ntz, id int"
     source = str(tmp_path / "in")
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def run():
+        stream = ratelimit.admit_stream(spark.readStream.schema(schema).parquet(source), 0.1, 3.0)
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
+        if not q.awaitTermination(60):
+            q.stop()
+            raise AssertionError("the stream didn't end")
+
     spark.createDataFrame([("a", start, i) for i in range(4)], schema).write.parquet(source)
-    q = ratelimit.admit_stream(spark.readStream.schema(schema).parquet(source), 0.1, 3.0).writeStream.format("memory").queryName("buckets").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").start()
-    try:
-        q.processAllAvailable()
-        spark.createDataFrame([("a", start + timedelta(seconds=10), 9), ("b", start, 5)], schema).write.mode("append").parquet(source)
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert {r.id: r.admitted for r in spark.sql("select * from buckets").collect()} == {0: True, 1: True, 2: True, 3: False, 9: True, 5: True}
+    run()
+    spark.createDataFrame([("a", start + timedelta(seconds=10), 9), ("b", start, 5)], schema).write.mode("append").parquet(source)
+    run()
+    assert {r.id: r.admitted for r in spark.read.parquet(out).collect()} == {0: True, 1: True, 2: True, 3: False, 9: True, 5: True}
 
 
 def test_ingest_is_incremental(spark, tmp_path):

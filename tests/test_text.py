@@ -29,7 +29,7 @@ def test_markdown(spark):
     text = "---\ntitle: 'A: b'\n# no: comment\nowner: me\nowner: you\nplain\n---\n\n# One \ntext\n## Two\n###### Six\n####### no"
     assert one(spark, tx.front_matter("t"), t=text) == {"title": "A: b", "owner": "you"}
     assert one(spark, tx.body("t"), t=text).startswith("# One")
-    assert one(spark, tx.headings("t"), t=text) == ["One", "Two", "Six"]
+    assert one(spark, tx.headings(tx.body("t")), t=text) == ["One", "Two", "Six"]
     assert one(spark, tx.front_matter("t"), t="no matter") == {}
     assert one(spark, tx.body("t"), t="--- never closed") == "--- never closed"
 
