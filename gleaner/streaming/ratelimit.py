@@ -47,9 +47,10 @@ def admit(requests: DataFrame, rate: float = RATE, burst: float = BURST, slice_r
     return requests.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(walk, schema)
 
 
-def admit_stream(requests: DataFrame, rate: float = RATE, burst: float = BURST) -> DataFrame:
-    """A stream of requests(key, ts, id) to (key, id, admitted), with one bucket kept per client. A client idle for
-    ``IDLE_S`` seconds is forgotten: its bucket is full again."""
+def admit_stream(requests: DataFrame, rate: float = RATE, burst: float = BURST, delay: str = "1 minute") -> DataFrame:
+    """A stream of requests(key, ts, id) to (key, id, admitted), with one bucket kept per client. Requests that come
+    ``delay`` after newer ones are dropped as too late. A client idle for ``IDLE_S`` seconds of event time is forgotten; by
+    then its bucket is full again."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -60,11 +61,12 @@ def admit_stream(requests: DataFrame, rate: float = RATE, burst: float = BURST)
         times = (frame["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
         ok, tokens, last = _admit(times, tokens, last, rate, burst)
         state.update((float(tokens), float(last)))
-        state.setTimeoutDuration(IDLE_S * 1000)
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + IDLE_S * 1000)
         yield pd.DataFrame({"key": key[0], "id": frame["id"].to_numpy(), "admitted": ok})
 
     out = f"key {requests.schema['key'].dataType.simpleString()}, id {requests.schema['id'].dataType.simpleString()}, admitted boolean"
-    return requests.groupBy("key").applyInPandasWithState(step, out, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return timed.groupBy("key").applyInPandasWithState(step, out, "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def admitted_counts(admitted: DataFrame) -> DataFrame:
