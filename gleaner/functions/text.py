@@ -79,7 +79,7 @@ def body(text: Column | str) -> Column:
 
 
 def headings(text: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?md)^#{1,6}\s+(.*)$"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?md)^#{1,6}\s+(.*)$"), F.lit(1)), lambda x: F.trim(x))
 
 
 # --- HTML ---------------------------------------------------------------------------------------------------------

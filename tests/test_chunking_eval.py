@@ -17,7 +17,8 @@ def test_recursive_by_hand():
     assert chunking.recursive_pieces("aaaa. bbbb. cc", s) == [("aaaa. ", 0), ("bbbb. ", 6), ("cc\n. ", 12)]  # separators of three levels
     assert chunking.recursive_pieces("x" * 20, s, 0, 8) == [("x" * 8, 0), ("x" * 8, 8), ("x" * 4, 16)]
     o = ChunkSettings(target=2, overlap=1, hard=4, least=0)
-    assert chunking.recursive_pieces("aaaa. bbbb. cc", o)[1] == ("aa. bbbb. ", 2)
+    assert chunking.recursive_pieces("aaaa. bbbb. cc", o, 0, 2)[1] == ("aa. bbbb. ", 2)
+    assert chunking.recursive_pieces("aaaa. bbbb. cc", o)[1] == ("aa. aa. aa. bbbb", -6)  # once at each of three levels, then cut
 
 
 def test_fold_of_a_tiny_tail():
