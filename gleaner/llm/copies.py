@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Classes up to this size are written out as all their pairs; a larger one as a star from its least id.
-#: (The class table names every member, so nothing is lost; all pairs of a class of a million copies would say no more.)
-EXPAND = 1000
+#: Members of a class that one block holds: the pairs of a larger class are made block against block, spread over tasks.
+BLOCK = 1000
 
 
 def classes(rows: DataFrame, id_col: str, digest_col: str) -> DataFrame:
@@ -21,22 +20,33 @@ def members(rows: DataFrame, classes_: DataFrame, id_col: str, digest_col: str)
     return rows.select(F.col(id_col).alias("member"), digest_col).join(several, digest_col).select("member", "rep", "copies")
 
 
-def all_pairs(rep_pairs: DataFrame, members_: DataFrame, a: str, b: str, expand: int = EXPAND) -> DataFrame:
+def all_pairs(rep_pairs: DataFrame, members_: DataFrame, a: str, b: str, expand: int | None = None) -> DataFrame:
     """Pairs of ids from pairs of representatives: crossed with the members of both classes, plus the pairs inside classes.
 
-    Of a class above ``expand`` members only the representative stands in pairs with other classes, and its inner pairs
-    are those with the representative.
+    All of them are written whatever the size of a class, so the rows grow with its square. Only where a caller names
+    ``expand``, classes above it are written short: just the representative stands in pairs with other classes, and the
+    inner pairs are those with the representative.
     """
-    small = members_.where(F.col("copies") <= expand)
+    blocks = F.ceil(F.col("copies") / BLOCK).cast("int")
+    whole = members_ if expand is None else members_.where(F.col("copies") <= expand)
+    blocked = whole.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    large = blocked.where((F.col("copies") > BLOCK) & (F.col("member") == F.col("rep")))
 
     def widened(df: DataFrame, c: str) -> DataFrame:
-        m = small.select(F.col("rep").alias(c), F.col("member").alias(f"{c}_member"))
-        return df.join(m, c, "left").withColumn(c, F.coalesce(f"{c}_member", c)).drop(f"{c}_member")
+        m = blocked.select(F.col("rep").alias(c), F.col("own").alias("block"), F.col("member").alias(f"{c}_member"))
+        spread = df.join(large.select(F.col("rep").alias(c), "blocks"), c, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        return spread.join(m, [c, "block"], "left").withColumn(c, F.coalesce(f"{c}_member", c)).drop("blocks", "block", f"{c}_member")
 
     crossed = widened(widened(rep_pairs.select(a, b), a), b)
-    inner = small.alias("x").join(small.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.member") < F.col("y.member")))
-    star = members_.where((F.col("copies") > expand) & (F.col("member") != F.col("rep")))
-    pairs = crossed.unionByName(inner.select(F.col("x.member").alias(a), F.col("y.member").alias(b))).unionByName(star.select(F.col("rep").alias(a), F.col("member").alias(b)))
+    spread = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "member")
+    met = (F.col("x.rep") == F.col("y.rep")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    once = (F.col("x.i") == F.col("x.j")) | (F.col("x.own") != F.col("y.own"))
+    inner = spread.alias("x").join(spread.alias("y"), met & once & (F.col("x.member") < F.col("y.member")))
+    pairs = crossed.unionByName(inner.select(F.col("x.member").alias(a), F.col("y.member").alias(b)))
+    if expand is not None:
+        star = members_.where((F.col("copies") > expand) & (F.col("member") != F.col("rep")))
+        pairs = pairs.unionByName(star.select(F.col("rep").alias(a), F.col("member").alias(b)))
 
     def ordered(f) -> Column:
         return f(a, b)

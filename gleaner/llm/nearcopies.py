@@ -210,7 +210,7 @@ class NearCopies:
         self.pairs_of_classes = verify(table_in_shared_dir(candidates(reps), "near-candidates"), texts, id_col, text_col, threshold, words)
 
     def pairs(self, a: str, b: str) -> DataFrame:
-        """All similar pairs of ids, a < b, copies included."""
+        """All similar pairs of ids, a < b, copies included, whatever the size of a class (its texts may differ)."""
         return copies.all_pairs(self.pairs_of_classes.select(F.col("a").alias(a), F.col("b").alias(b)), self.members, a, b)
 
     def groups(self, id_col: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 import re
-from itertools import combinations
+from itertools import combinations, product
 
 from gleaner.llm import bits, components, nearcopies
 
@@ -66,6 +66,30 @@ def test_groups_and_stars(spark):
     assert {tuple(r) for r in pairs.collect()} == {("k", "m00")} | {("m00", f"m{i:02}") for i in range(1, 30)}
 
 
+def test_large_class_keeps_every_pair(spark):
+    words = WORDS[:30]
+    texts = [" ".join(words), ", ".join(words).upper()]  # different texts, one set of shingles
+    rows = [(f"m{i:04}", texts[i % 2]) for i in range(1100)] + [("k", " ".join([*words[:-1], "changed"]))]
+    pairs = nearcopies.NearCopies(spark.createDataFrame(rows, "chunk_id string, text string"), "chunk_id", "text").pairs("a", "b")
+    ids = {i for i, _ in rows}
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) == len(rows) * (len(rows) - 1) // 2
+    assert all(a < b and a in ids and b in ids for a, b in got)
+
+
+def test_pairs_of_classes_in_blocks(spark, monkeypatch):
+    from gleaner.llm import copies
+
+    monkeypatch.setattr(copies, "BLOCK", 4)
+    sizes = {"m": 30, "p": 11, "q": 3}
+    members = spark.createDataFrame([(f"{c}{i:02}", f"{c}00", n) for c, n in sizes.items() for i in range(n)], "member string, rep string, copies long")
+    links = [("m00", "p00"), ("k", "m00"), ("k", "l")]
+    got = [tuple(r) for r in copies.all_pairs(spark.createDataFrame(links, "a string, b string"), members, "a", "b").collect()]
+    of = {f"{c}00": [f"{c}{i:02}" for i in range(n)] for c, n in sizes.items()} | {"k": ["k"], "l": ["l"]}
+    want = {tuple(sorted(p)) for x, y in links for p in product(of[x], of[y])} | {p for c in of.values() for p in combinations(c, 2)}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_empty_table(spark):
     n = nearcopies.NearCopies(spark.createDataFrame([], "chunk_id string, text string"), "chunk_id", "text")
     assert n.pairs("a", "b").count() == 0 and n.groups("chunk_id").count() == 0
