@@ -198,12 +198,13 @@ class SharedSpans:
         self.spans = spans(occurrences(documents, reps, min_chars, k), min_chars, k)
 
     def pairs(self) -> DataFrame:
-        """(doc_id_a, doc_id_b), a < b: texts with a common substring of the least length; whole copies count."""
+        """(doc_id_a, doc_id_b), a < b: texts with a common substring of the least length; whole copies count, all pairs of them."""
         return copies.all_pairs(self.spans.select("doc_id_a", "doc_id_b").distinct(), self.members, "doc_id_a", "doc_id_b")
 
     def shares(self) -> DataFrame:
         """One row for each text that shares a span: its length, how many of its characters stand elsewhere too, with how
-        many other distinct texts, and how many whole copies it has. Members of a copy class are shared from end to end."""
+        many other distinct texts, how many whole copies it has, and the least id among these (its own without copies).
+        Members of a copy class are shared from end to end."""
         s = table_in_shared_dir(self.spans, "spans")
         a = s.select(F.col("doc_id_a").alias("doc_id"), F.col("doc_id_b").alias("partner"), F.col("a_start").alias("x"), (F.col("a_start") + F.col("n_chars")).alias("y"))
         b = s.select(F.col("doc_id_b").alias("doc_id"), F.col("doc_id_a").alias("partner"), F.col("b_start").alias("x"), (F.col("b_start") + F.col("n_chars")).alias("y"))
@@ -215,10 +216,10 @@ class SharedSpans:
         covered = covered.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("y") - F.greatest("x", "reached"))).cast("int").alias("covered"))
         reps = covered.join(partners, "doc_id")
         all_ids = self.members.select(F.col("member").alias("doc_id"), "rep", "copies").join(reps.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        lone = reps.join(self.members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "covered", "n_partners", F.lit(1).cast("long").alias("copies"))
-        every = lone.unionByName(all_ids.select("doc_id", "covered", "n_partners", "copies")).join(self.lengths, "doc_id")
+        lone = reps.join(self.members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "covered", "n_partners", F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("rep"))
+        every = lone.unionByName(all_ids.select("doc_id", "covered", "n_partners", "copies", "rep")).join(self.lengths, "doc_id")
         shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.col("covered"))
         return every.select(
             "doc_id", "n_chars", shared.alias("shared_chars"), F.round(shared / F.col("n_chars"), 6).alias("share"),
-            F.coalesce("n_partners", F.lit(0).cast("long")).alias("n_partners"), F.col("copies").cast("long").alias("n_copies"),
+            F.coalesce("n_partners", F.lit(0).cast("long")).alias("n_partners"), F.col("copies").cast("long").alias("n_copies"), F.col("rep").alias("class_id"),
         )

@@ -53,6 +53,18 @@ def test_pairs_and_shares(spark, cluttered, monkeypatch, hot):
     assert rows[500].n_copies == 3 and rows[500].share == 1.0
 
 
+def test_many_copies_keep_every_pair(spark):
+    text = "".join(random.Random(5).choice("abcdefg hij") for _ in range(60))
+    docs = [(i, text) for i in range(1, 1003)] + [(5000, "other words " + text[5:55])]
+    s = sharedspans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"), 40, 20)
+    got = [tuple(r) for r in s.pairs().collect()]
+    ids = {i for i, _ in docs}
+    assert len(got) == len(set(got)) == len(docs) * (len(docs) - 1) // 2
+    assert all(a < b and a in ids and b in ids for a, b in got)
+    rows = {r.doc_id: r for r in s.shares().collect()}
+    assert rows.keys() == ids and {r.class_id for i, r in rows.items() if i != 5000} == {1} and rows[5000].class_id == 5000
+
+
 def test_empty(spark):
     s = sharedspans.SharedSpans(spark.createDataFrame([], "doc_id long, text string"))
     assert s.pairs().count() == 0 and s.shares().count() == 0
