@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return _p2(spark, d)
+    return splitting.placed(_p2(spark, d), table(spark, d, "chunks"), table(spark, d, "documents"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,8 @@ A text is cut into sections (before headings); what is still too long into parag
 last characters. The parts are then packed greedily into pieces up to the limit; a piece that is well filled also ends before
 a section or paragraph that has to be cut itself. Every piece after the first begins
 exactly ``overlap`` before the end of the piece before it. Offsets are counted in characters of the item's own text and
-the estimate is computed from the piece, so neither ``char_start`` nor ``token_estimate`` of the input is read.
+the estimate is computed from the piece; ``placed`` adds the offset in the document, where a chunk's text is looked up.
+``token_estimate`` of the input is never read, and ``char_start`` only to choose among places where the text does stand.
 
 Null and empty texts and texts within the limit have no pieces. Repeated rows of one key give the pieces once. A text
 without any boundary is cut between characters, though never before a combining mark. Extra columns are ignored.
@@ -112,3 +113,23 @@ def items(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks and documents as one table of items."""
     c = chunks.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_key"), "text")
     return c.unionByName(documents.select(F.lit("document").alias("item_kind"), F.col("doc_id").cast("string").alias("item_key"), "text"))
+
+
+def placed(pieces_: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pieces with ``doc_start``, their offset in the document's text: of a document's piece ``char_start``, of a chunk's
+    where the chunk's text stands in the document of its key, plus ``char_start``. Null where the document isn't there or
+    doesn't hold the text. Of several places, the one that a row's own ``char_start`` names counts, else the first.
+
+    Only oversized chunks are looked up; of the documents, only those they name are compared.
+    """
+    c = chunks.select(F.col("chunk_id").alias("item_key"), "text", F.col("doc_id").alias("doc_key"), F.col("char_start").alias("said"))
+    c = c.where((F.floor(F.length("text") / CHARS_PER_TOKEN) > LIMIT_TOKENS) & F.col("item_key").isNotNull() & F.col("doc_key").isNotNull())
+    held = c.join(documents.where("text is not null").select("doc_key", F.col("text").alias("whole")), "doc_key")
+    first = F.expr("instr(whole, text)") - 1
+    # substring counts from the end below 0
+    named = (F.col("said") >= 0) & (F.expr("substring(whole, said + 1, length(text))") == F.col("text"))
+    places = held.select("item_key", F.when(named, F.col("said")).alias("named"), first.alias("first")).where("first >= 0")
+    places = places.groupBy("item_key").agg(F.coalesce(F.min("named"), F.min("first")).cast("int").alias("chunk_at")).withColumn("item_kind", F.lit("chunk"))
+    found = pieces_.join(places, ["item_kind", "item_key"], "left")
+    at = F.when(F.col("item_kind") == "document", F.lit(0)).otherwise(F.col("chunk_at"))
+    return found.select(*pieces_.columns, (at + F.col("char_start")).alias("doc_start"))

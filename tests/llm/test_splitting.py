@@ -45,6 +45,30 @@ def test_table(spark, cluttered):
         assert mine == list(range(len(mine)))
 
 
+def test_offsets_in_the_document(spark, cluttered):
+    from gleaner.llm import queries
+
+    rng = random.Random(4)
+    whole = "é\U0001f600 " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(1500))
+    twice = "".join(rng.choice("abc déf\n") for _ in range(2100)) * 2
+    docs = spark.createDataFrame([(1, whole, "k1"), (2, whole, "k1"), (3, twice, "k2"), (4, None, "k3")], "doc_id long, text string, doc_key string")
+    rows = [
+        ("wrong", whole[700:3700], "k1", 5), ("null", whole[41:3000], "k1", None), ("wrong", whole[700:3700], "k1", None), ("below", whole[1:3000], "k1", -1),
+        ("second", twice[2100:], "k2", 2100), ("first", twice[2100:], "k2", 3), ("gone", whole[:2500], "k9", 0), ("other", "z" * 2500, "k1", 0), ("empty", "z" * 2500, "k3", 0), ("keyless", whole[:2500], None, 0), (None, whole[:2500], "k1", 0),
+    ]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, doc_id string, char_start int")
+    chunks, docs = cluttered(chunks), cluttered(docs)
+    out = splitting.placed(splitting.split_oversized(splitting.items(chunks, docs)), chunks, docs).collect()
+    starts = {"wrong": 700, "null": 41, "below": 1, "second": 2100, "first": 0, "1": 0, "2": 0, "3": 0}
+    assert {r.item_key for r in out} == starts.keys() | {"gone", "other", "empty", "keyless", None}
+    for r in out:
+        assert r.doc_start == (starts[r.item_key] + r.char_start if r.item_key in starts else None)
+        if r.doc_start is not None:
+            source = twice if r.item_key in ("second", "first", "3") else whole
+            assert source[r.doc_start : r.doc_start + len(r.text)] == r.text
+    assert "doc_start" in queries.p2_pieces(spark, "/root/testdata/sf0.001").columns
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], "item_kind string, item_key string, text string")
     assert splitting.split_oversized(e).count() == 0
