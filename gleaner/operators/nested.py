@@ -2,9 +2,11 @@
 
 A bottom-up tree automaton gives every object a state from its own symbol and the states of its children: typed arrays
 of structs are run through it as column expressions, free-form JSON as a walk over the parsed value. The state says which
-variant an object is (a hit, a leg with its name, a leg's body keyed by the name, a failed call, ...) and routes it to
-the table of that subtype. All subtypes share the supertype's keys ``trace_id``, ``node_kind``, ``node_path``,
-``parent_path`` and ``state``. Paths are positions from 0, joined by dots; a leg's position is its name.
+variant an object is (a hit, a leg with its name, a leg's body keyed by the name, a failed call, ...). In JSON the state
+and the place decide (``ROUTES``) whether a value is a node and of which kind; in typed arrays the schema gives the kind
+and the state labels the row. There is a table for each kind, with the state as a column, and none for each variant. All
+kinds share the keys ``trace_id``, ``node_kind``, ``node_path``, ``parent_path`` and ``state``. Paths are positions from 0,
+joined by dots; a leg's position is its name.
 
 A null element is no node but keeps its position. Null and empty levels have no nodes below them. JSON that holds JSON
 as a string counts as that JSON; JSON that doesn't parse, and rows without a trace id, have no nodes. A record that was
@@ -68,6 +70,19 @@ def run(value: object) -> tuple[str, dict | list]:
     return leaf, {}
 
 
+_ARRAYS = ("empty", "hits", "legs", "scalars", "mixed")
+_OBJECTS = ("leg", "hit", "body", "legs_by_name", "object")
+
+#: The kind of node that a value is, by its place and its state; without a kind it is no node. ``list``: an element of
+#: ``legs``; ``lone``: the value of ``legs`` itself; ``named``: an entry of that value; ``hits``: a hit of a leg.
+ROUTES: dict[str, dict[str, str]] = {
+    "list": {"leg": "leg"},
+    "lone": {"leg": "leg"},
+    "named": dict.fromkeys(_OBJECTS, "leg"),
+    "hits": dict.fromkeys((*_OBJECTS, *_ARRAYS, "bool", "number", "string"), "leg_hit"),
+}
+
+
 def parse(text: str | None) -> object:
     """The JSON value; a string that holds JSON is that JSON. None where it doesn't parse."""
     value: object = text
@@ -88,29 +103,31 @@ def legs(meta: str | None) -> Iterator[dict]:
     value = parse(meta)
     given = value.get("legs") if isinstance(value, dict) else None
     state, below = run(given)
-    if isinstance(given, list):
-        named = [(v.get("leg"), v, s) for v, (s, _) in zip(given, below) if isinstance(v, dict)]
-    elif isinstance(given, dict) and state == "leg":
-        named = [(given["leg"], given, state)]
-    elif isinstance(given, dict):
-        named = [(k, v, below[k][0]) for k, v in given.items() if isinstance(v, dict)]
+    if state in _ARRAYS:
+        some = [("list", None, v, r) for v, r in zip(given, below)]
+    elif state in ROUTES["lone"]:
+        some = [("lone", None, given, (state, below))]
+    elif state in _OBJECTS:
+        some = [("named", k, v, below[k]) for k, v in given.items()]
     else:
-        named = []
-    for name, leg, s in named:
-        if not isinstance(name, str):
+        some = []
+    for place, key, leg, (s, parts) in some:
+        kind = ROUTES[place].get(s)
+        if kind is None:
             continue
-        hits = leg.get("hits")
-        hits = hits if isinstance(hits, list) else [] if hits is None else [hits]
-        yield {"node_kind": "leg", "node_path": name, "parent_path": None, "state": s, "ms": _number(leg.get("ms")), "n_hits": sum(h is not None for h in hits)}
-        for i, hit in enumerate(hits):
-            if hit is not None:
-                h = hit if isinstance(hit, dict) else {}
-                tags = h.get("tags")
-                yield {
-                    "node_kind": "leg_hit", "node_path": f"{name}.{i}", "parent_path": name, "state": run(hit)[0],
-                    "chunk_id": h.get("chunk_id") if isinstance(h.get("chunk_id"), str) else None, "rank": _number(h.get("rank")), "score": _number(h.get("score")),
-                    "tags": [t for t in tags if isinstance(t, str)] if isinstance(tags, list) else None,
-                }
+        name = leg["leg"] if key is None else key
+        hits, (hits_state, hit_runs) = leg.get("hits"), parts.get("hits", ("null", {}))
+        runs = list(zip(hits, hit_runs)) if hits_state in _ARRAYS else [(hits, (hits_state, hit_runs))]
+        routed = [(i, hit, h, ROUTES["hits"][h]) for i, (hit, (h, _)) in enumerate(runs) if h in ROUTES["hits"]]
+        yield {"node_kind": kind, "node_path": name, "parent_path": None, "state": s, "ms": _number(leg.get("ms")), "n_hits": len(routed)}
+        for i, hit, hit_state, hit_kind in routed:
+            h = hit if isinstance(hit, dict) else {}
+            tags = h.get("tags")
+            yield {
+                "node_kind": hit_kind, "node_path": f"{name}.{i}", "parent_path": name, "state": hit_state,
+                "chunk_id": h.get("chunk_id") if isinstance(h.get("chunk_id"), str) else None, "rank": _number(h.get("rank")), "score": _number(h.get("score")),
+                "tags": [t for t in tags if isinstance(t, str)] if isinstance(tags, list) else None,
+            }
 
 
 _LEGS = pa.schema(

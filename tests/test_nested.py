@@ -27,6 +27,17 @@ def test_automaton():
     assert nested.run({"dense": {"hits": []}})[0] == "legs_by_name" and nested.run({"x": [1, {}]})[0] == "object"
 
 
+def test_state_decides_the_route(monkeypatch):
+    hit = {"chunk_id": "a"}
+    named = {"legs": {"dense": {"hits": [hit, 3, None, [hit]]}, "odd": {"x": 1}, "list": [hit], "none": None}}
+    assert legs_of(named) == [
+        ("leg", "dense", "body"), ("leg_hit", "dense.0", "hit"), ("leg_hit", "dense.1", "number"), ("leg_hit", "dense.3", "hits"), ("leg", "odd", "object"),
+    ]
+    monkeypatch.delitem(nested.ROUTES["named"], "object")
+    monkeypatch.setitem(nested.ROUTES["hits"], "number", "other_kind")
+    assert legs_of(named) == [("leg", "dense", "body"), ("leg_hit", "dense.0", "hit"), ("other_kind", "dense.1", "number"), ("leg_hit", "dense.3", "hits")]
+
+
 def test_tables(spark, cluttered):
     call = lambda error=None, batches=None: ("p", 1, 2.0, error, batches)
     spans = [("embed", 1.0, {"k": "v"}, [call(), None, call((500, "no"), [(8, 1), None, (4, None)])]), None, ("rank", None, None, None)]
