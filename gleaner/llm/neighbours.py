@@ -1,17 +1,27 @@
 """The most similar vectors for every vector (problem 4), by additive quantisation.
 
-Every vector is scaled to unit length and written as a sum of full-dimensional codewords, one from each codebook; the
-codebooks are trained on residuals of a bounded sample (``SAMPLE`` vectors of each group) and the codes are found by a
-beam search. The first codebook also divides the vectors into cells. A query scores the vectors of its nearest cells by
-lookup tables (its products with all codewords, summed over a vector's codes, over the stored length of that sum) and
-the best ``RERANK`` of each block are scored again exactly. All rows are indexed and all rows are queries.
-
-A group is one model and width. Equal vectors are searched once; each class then stands for its least keys, so a class
-that holds a third of all rows costs one search. Cells are cut into blocks of bounded size, vectors and queries alike.
-Similarities are cosines; equal ones are ordered by key.
+1. Regions: the centroids of each group (one model and width) are trained on a bounded sample (``SAMPLE`` distinct vectors of
+   the group, those with the least hashes). Every distinct vector lives in the region of its nearest centroid, and is sent
+   as a query to the regions whose squared distance exceeds the nearest by less than ``margin``, ``probes`` at most.
+2. In a region the vectors are written as sums of full-dimensional codewords, one from each codebook: cells, then
+   ``LEVELS`` codebooks of residuals, all trained on the region's own vectors. The codes are found by a beam search. A query
+   scores the vectors of its nearest cells by lookup tables (its products with all codewords, summed over a vector's codes,
+   over the stored length of that sum); the best ``rerank`` are scored again exactly.
+3. The lists of the regions are merged for each query. With ``exact`` every query goes to every region of its group and is
+   compared with all vectors there: the same result without any of these bounds, at a quadratic cost.
+
+Regions hold about ``REGION`` vectors, so their number grows with the group and the work for a vector doesn't, until the
+sample can't train more (``SAMPLE_FLOATS`` numbers over all groups); beyond that regions grow, and are cut into blocks. A
+region's load is estimated from the sample, and one with more than a block's share of vectors or queries is spread over
+tasks. All rows are indexed and all rows are queries.
+
+Equal vectors are searched once; each class then stands for its least keys. A class with many keys is reduced to one row
+before anything is shuffled, so one that holds a third of all rows costs one search.
+Similarities are cosines, computed in double precision; equal ones are ordered by key.
 
 Unusable vectors (null, null or infinite or NaN elements, wrong length, all zero) and rows without a key are left out.
-Repeated rows of one key count once. A group of one vector has no neighbours. Extra columns are ignored.
+Repeated rows of one key count once; if their vectors differ, one of them counts. A group of one vector has no neighbours.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,37 +36,51 @@ from pyspark.sql import functions as F
 from gleaner.runtime import collect_bounded, table_in_shared_dir
 
 K = 5
-#: Vectors of one group that the codebooks are trained on (those with the least hashes), at least; 4 for every cell.
-SAMPLE = 8192
-CELL, MAX_CELLS = 600, 4096
+#: Vectors in one region, distinct vectors in a group's sample (at least; 32 for each region), and numbers in all samples.
+REGION, SAMPLE, PER_REGION, SAMPLE_FLOATS = 8192, 8192, 32, 16 << 20
+MARGIN, PROBES, RERANK = 0.1, 16, 160
+#: In a region: vectors of a cell, cells that a query scores, candidates that a cell hands on, vectors that train its books.
+CELL, NEAR_CELLS, PER_CELL, TRAIN = 256, 12, 64, 4096
 CODEWORDS, LEVELS, BEAM = 64, 3, 4
-PROBES, RERANK = 10, 128
-BLOCK_VECTORS, BLOCK_QUERIES = 2048, 2048
+#: Stands for a score where there is no candidate; scores of candidates are near -1 to 1 and clipped to -5.
+NONE = -7.0
+BLOCK_VECTORS, BLOCK_QUERIES = 16384, 65536
 GROUPS = 1000
+#: Classes of equal vectors with more keys than this are hot; the HOT_CLASSES largest of them are reduced before the shuffle.
+HOT_KEYS, HOT_CLASSES = 256, 4096
+
+_ROUTED = pa.schema([("g", pa.int32()), ("s", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("id", pa.int64()), ("role", pa.int8()), ("vec", pa.binary())])
+_HIT = pa.struct([("c", pa.float64()), ("other", pa.int64())])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(model, dim, key, vec): one row for each key whose vector can be compared."""
-    good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    """(model, dim, key, vec, id) of the rows that can be compared; id stands for the class of equal vectors."""
     rows = vectors.select("model", "dim", "key", "vec").where("vec is not null and key is not null and size(vec) = dim")
-    return rows.where(good & F.exists("vec", lambda x: x != 0)).dropDuplicates(["model", "dim", "key"])
+    # array_contains is null, not false, where an element is null and none is NaN
+    rows = rows.where(~F.array_contains("vec", F.lit(float("nan")).cast("float")))
+    rows = rows.where((F.array_max("vec") < float("inf")) & (F.array_min("vec") > float("-inf")) & ((F.array_max("vec") != 0) | (F.array_min("vec") != 0)))
+    return rows.withColumn("id", F.xxhash64("model", "dim", "vec"))
 
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         of = _nearest(x, c)
-        sums = np.zeros_like(c)
-        np.add.at(sums, of, x)
+        order = np.argsort(of, kind="stable")
         n = np.bincount(of, minlength=k)
-        c[n > 0] = sums[n > 0] / n[n > 0, None]
+        some = n > 0
+        c[some] = np.add.reduceat(x[order], (np.cumsum(n) - n)[some], axis=0) / n[some, None]
     return c
 
 
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances less the squared lengths of x."""
+    return (c * c).sum(1) - 2 * (x @ c.T)
+
+
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    half = (c * c).sum(1) / 2
-    return np.concatenate([(half - x[i : i + 4096] @ c.T).argmin(1) for i in range(0, len(x), 4096)])
+    return np.concatenate([_distances(x[i : i + 4096], c).argmin(1) for i in range(0, len(x), 4096)])
 
 
 def train(x: np.ndarray, cells: int, seed: int = 7) -> list[np.ndarray]:
@@ -73,141 +97,255 @@ def train(x: np.ndarray, cells: int, seed: int = 7) -> list[np.ndarray]:
 def encode(x: np.ndarray, books: list[np.ndarray], beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes (a column for each codebook) and the length of the sum of codewords, by a beam search over the codebooks."""
     n = len(x)
-    rest, cost, codes = x[:, None, :], None, np.zeros((n, 1, 0), dtype=np.int32)
+    rest, codes, cost = x[:, None, :], np.zeros((n, 1, 0), dtype=np.int32), None
+    rows = np.arange(n)[:, None]
     for c in books:
         w, k = rest.shape[1], len(c)
-        d = (rest * rest).sum(2)[:, :, None] - 2 * (rest.reshape(n * w, -1) @ c.T).reshape(n, w, k) + (c * c).sum(1)
-        d = d.reshape(n, w * k)
+        d = ((rest * rest).sum(2)[:, :, None] + _distances(rest.reshape(n * w, -1), c).reshape(n, w, k)).reshape(n, w * k)
         keep = min(beam, w * k)
         best = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep < w * k else np.tile(np.arange(w * k), (n, 1))
-        rows = np.arange(n)[:, None]
         source, word = best // k, best % k
         cost = d[rows, best]
         codes = np.concatenate([codes[rows, source], word[:, :, None].astype(np.int32)], axis=2)
         rest = rest[rows, source] - c[word]
-    top = cost.argmin(1)
-    codes = codes[np.arange(n), top]
+    codes = codes[np.arange(n), cost.argmin(1)]
     total = sum(c[codes[:, i]] for i, c in enumerate(books))
     return codes, np.maximum(np.sqrt((total * total).sum(1)), 1e-6)
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     return (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
 
 
-def _index(reps: DataFrame, groups: dict[tuple, int], books: list[list[np.ndarray]]) -> DataFrame:
-    """(g, id, cell, probes, code, vec) of every class."""
-    sent = reps.sparkSession.sparkContext.broadcast((groups, books))  # bounded by GROUPS, MAX_CELLS and the widths
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+
+
+def _top(score: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k greatest numbers of each row, in no order."""
+    return np.argpartition(-score, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(score), 1))
+
+
+def _top_scores(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_top``, with the numbers. Numbers from NONE to 7 and places go through one partition of small integers."""
+    if k >= score.shape[1] or score.shape[1] > 4096:
+        at = _top(score, k)
+        return at, np.take_along_axis(score, at, 1)
+    packed = (np.clip(score, NONE, 7) * np.float32(1 << 16)).astype(np.int32)
+    packed <<= 12
+    packed |= np.arange(score.shape[1], dtype=np.int32)
+    packed.partition(score.shape[1] - k, axis=1)
+    packed = packed[:, score.shape[1] - k :]
+    return packed & 4095, (packed >> 12).astype(np.float32) / np.float32(1 << 16)
+
+
+# --- regions ------------------------------------------------------------------------------------------------------
+
+
+class Regions:
+    """The centroids of a group and into how many blocks each region's vectors and queries are cut."""
+
+    def __init__(self, sample: np.ndarray, vectors: int, margin: float, probes: int, exact: bool):
+        self.margin, self.probes, self.exact = margin, probes, exact
+        n = max(1, min(round(vectors / REGION), len(sample) // (PER_REGION // 2)))
+        self.centroids = _kmeans(sample, n, np.random.default_rng(11))
+        home, asked = self.of(sample)
+        share = vectors / len(sample)
+        self.vector_blocks = np.ceil(np.bincount(home, minlength=n) * share / BLOCK_VECTORS).astype(np.int64).clip(1)
+        self.query_blocks = np.ceil(asked.sum(0) * share / BLOCK_QUERIES).astype(np.int64).clip(1)
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The region of each unit vector, and for each which regions it asks."""
+        d = _distances(x, self.centroids)
+        home = d.argmin(1)
+        if self.exact:
+            return home, np.ones(d.shape, dtype=bool)
+        asked = d < d.min(1)[:, None] + self.margin
+        if d.shape[1] > self.probes:
+            few = np.zeros(d.shape, dtype=bool)
+            np.put_along_axis(few, np.argpartition(d, self.probes - 1, axis=1)[:, : self.probes], True, axis=1)
+            asked &= few
+        asked[np.arange(len(x)), home] = True
+        return home, asked
+
+
+def _spread(rows: np.ndarray, s: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every row as often as its region has blocks of the other kind, with their numbers."""
+    n = times[s]
+    return np.repeat(rows, n), np.repeat(s, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _route(rows: DataFrame, regions: list[Regions]) -> DataFrame:
+    """Rows for the blocks: role 1 a vector, 2 a query, 3 both; each class once for each task of the input."""
+    sent = rows.sparkSession.sparkContext.broadcast(regions)  # SAMPLE_FLOATS / 16 numbers at most
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, all_books = sent.value
+        seen: set[int] = set()
         for batch in batches:
-            g = np.array([number[m, d] for m, d in zip(batch.column("model").to_pylist(), batch.column("dim").to_pylist())], dtype=np.int64)
-            for one in np.unique(g):
-                rows = np.flatnonzero(g == one)
-                b = all_books[one]
-                for i in range(0, len(rows), 1024):
-                    part = pa.array(rows[i : i + 1024])
-                    x = _unit(batch.column("vec").take(part), b[0].shape[1])
-                    codes, length = encode(x, b)
-                    near = ((b[0] * b[0]).sum(1) - 2 * x @ b[0].T).argsort(1)[:, :PROBES].astype(np.int32)
-                    code = np.concatenate([codes[:, 1:].astype(np.float32), length[:, None].astype(np.float32)], axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(x), one, dtype=np.int32)), batch.column("id").take(part), pa.array(codes[:, 0]), pa.array(list(near), type=pa.list_(pa.int32())),
-                            pa.array([r.tobytes() for r in code], type=pa.binary()), pa.array([r.tobytes() for r in x], type=pa.binary()),
-                        ],
-                        names=["g", "id", "cell", "probes", "code", "vec"],
-                    )
-
-    return reps.select("model", "dim", "id", "vec").mapInArrow(scan, "g int, id long, cell int, probes array<int>, code binary, vec binary")
-
-
-def search_block(q: np.ndarray, x: np.ndarray, codes: np.ndarray, length: np.ndarray, cell: np.ndarray, books: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of x (all of one cell) for each query, and their cosines: lookup tables, then exact scores."""
-    score = np.repeat((q @ cell)[:, None], len(x), axis=1)
-    for level, book in enumerate(books):
-        score += (q @ book.T)[:, codes[:, level]]
-    score /= length
-    keep = min(RERANK, len(x))
-    best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-    exact = np.einsum("qd,qrd->qr", q.astype(np.float64), x[best].astype(np.float64))
-    order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-    rows = np.arange(len(q))[:, None]
-    return best[rows, order], exact[rows, order]
-
-
-def _search(index: DataFrame, books: list[list[np.ndarray]], k: int) -> DataFrame:
-    """(id, other, cosine): the k best of every probed block for every class; its own class is among them."""
-    spark = index.sparkSession
-    vectors = index.select("g", "cell", "id", "code", "vec")
-    queries = index.select("g", F.explode("probes").alias("cell"), "id", "vec")
-    load = vectors.groupBy("g", "cell").agg(F.count("*").alias("vectors")).join(queries.groupBy("g", "cell").agg(F.count("*").alias("queries")), ["g", "cell"])
-    # a row for each cell, GROUPS * MAX_CELLS at most
-    rows = [(r["g"], r["cell"], -(-r["vectors"] // BLOCK_VECTORS), -(-r["queries"] // BLOCK_QUERIES)) for r in collect_bounded(load, GROUPS * MAX_CELLS, "cells")]
-    blocks = F.broadcast(spark.createDataFrame(rows, "g int, cell int, vb int, qb int"))
-    sent = spark.sparkContext.broadcast(books)
-    own = F.pmod("id", F.col("vb")).cast("int")
-    v = vectors.join(blocks, ["g", "cell"]).withColumn("i", own).withColumn("j", F.explode(F.expr("sequence(0, qb - 1)"))).select("g", "cell", "i", "j", "id", "code", "vec")
-    own = F.pmod(F.xxhash64("id"), F.col("qb")).cast("int")
-    q = queries.join(blocks, ["g", "cell"]).withColumn("j", own).withColumn("i", F.explode(F.expr("sequence(0, vb - 1)"))).select(*(F.col(c).alias(f"q_{c}") for c in ("g", "cell", "i", "j", "id", "vec")))
-
-    def block(key: tuple, vt: pa.Table, qt: pa.Table) -> pa.Table:
-        b = sent.value[key[0].as_py()]
-        dim = b[0].shape[1]
-        out: list[tuple] = []
-        if len(vt) and len(qt):
-            x = np.frombuffer(b"".join(vt.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim)
-            code = np.frombuffer(b"".join(vt.column("code").to_pylist()), dtype=np.float32).reshape(len(x), LEVELS + 1)
-            codes, ids = code[:, :LEVELS].astype(np.int32), vt.column("id").to_numpy()
-            mine, raw = qt.column("q_id").to_numpy(), qt.column("q_vec").to_pylist()
-            for s in range(0, len(mine), 128):
-                y = np.frombuffer(b"".join(raw[s : s + 128]), dtype=np.float32).reshape(-1, dim)
-                at, cosine = search_block(y, x, codes, code[:, LEVELS], b[0][key[1].as_py()], b[1:], k)
-                out.append((np.repeat(mine[s : s + 128], at.shape[1]), ids[at].ravel(), cosine.ravel()))
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        a, o, c = (np.concatenate(x) for x in zip(*(out or [empty])))
-        return pa.table({"id": a, "other": o, "cosine": c})
-
-    keys = ("g", "cell", "i", "j")
-    return v.groupBy(*keys).cogroup(q.groupBy(*(f"q_{c}" for c in keys))).applyInArrow(block, "id long, other long, cosine double")
-
-
-def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
+            ids = batch.column("id").to_numpy()
+            g = batch.column("g").to_numpy()
+            first = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()], dtype=bool)
+            for one in np.unique(g[first]):
+                mine = np.flatnonzero(first & (g == one))
+                r, column = sent.value[one], batch.column("vec").take(pa.array(mine))
+                raw = _matrix(column, r.centroids.shape[1])
+                home, asked = r.of(_unit(raw))
+                h = ids[mine].view(np.uint64)
+                own_i = ((h >> np.uint64(3)) % r.vector_blocks[home].astype(np.uint64)).astype(np.int64)
+                at, s, j = _spread(np.arange(len(mine)), home, r.query_blocks)
+                q_at, q_s = np.nonzero(asked)
+                own_j = ((h[q_at] >> np.uint64(7)) % r.query_blocks[q_s].astype(np.uint64)).astype(np.int64)
+                q_of, q_region, i = _spread(np.arange(len(q_at)), q_s, r.vector_blocks)
+                q_row, q_j = q_at[q_of], own_j[q_of]
+                # a query that comes to its own block comes with the vector
+                together = (home[q_row] == q_region) & (own_i[q_row] == i)
+                mine_j = np.zeros(len(mine), dtype=np.int64)
+                mine_j[q_row[together]] = q_j[together]
+                both = mine_j[at] == j
+                rows_ = np.concatenate([at, q_row[~together]])
+                width = raw.shape[1] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(rows_), one, dtype=np.int32)), pa.array(np.concatenate([s, q_region[~together]]).astype(np.int32)), pa.array(np.concatenate([own_i[at], i[~together]]).astype(np.int32)),
+                        pa.array(np.concatenate([j, q_j[~together]]).astype(np.int32)), pa.array(ids[mine][rows_]), pa.array(np.concatenate([np.where(both, 3, 1), np.full(len(rows_) - len(at), 2)]).astype(np.int8)),
+                        pa.Array.from_buffers(pa.binary(), len(rows_), [None, pa.py_buffer(np.arange(0, width * len(rows_) + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(raw[rows_]))]),
+                    ],
+                    schema=_ROUTED,
+                )
+
+    return rows.select("g", "id", "vec").mapInArrow(scan, "g int, s int, i int, j int, id long, role tinyint, vec binary")
+
+
+# --- the search inside a block ------------------------------------------------------------------------------------
+
+
+class Block:
+    """Vectors with their codes, in the order of their cells."""
+
+    def __init__(self, x: np.ndarray):
+        self.unit = _unit(x)
+        step = max(1, len(x) // TRAIN)
+        self.books = train(self.unit[::step], max(1, round(len(x) / CELL)))
+        codes, length = zip(*(encode(self.unit[i : i + 2048], self.books) for i in range(0, len(x), 2048)))
+        codes, length = np.concatenate(codes), np.concatenate(length)
+        self.order = np.argsort(codes[:, 0], kind="stable")
+        self.codes, self.length = codes[self.order, 1:], length[self.order]
+        self.bounds = np.searchsorted(codes[self.order, 0], np.arange(len(self.books[0]) + 1))
+
+    def candidates(self, q: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each unit query the places of its best vectors by the lookup tables, and their scores; ``NONE`` where there are fewer."""
+        cells = self.books[0]
+        near = _top(-_distances(q, cells), min(NEAR_CELLS, len(cells)))
+        base = cells @ q.T
+        tables = [b @ q.T for b in self.books[1:]]
+        place = np.zeros((len(q), near.shape[1] * PER_CELL), dtype=np.int64)
+        score = np.full(place.shape, NONE, dtype=np.float32)
+        flat = np.argsort(near.ravel(), kind="stable")
+        of, slot = flat // near.shape[1], flat % near.shape[1]
+        asked = np.searchsorted(near.ravel()[flat], np.arange(len(cells) + 1))
+        for c in range(len(cells)):
+            lo, hi = self.bounds[c], self.bounds[c + 1]
+            who, at = of[asked[c] : asked[c + 1]], slot[asked[c] : asked[c + 1]]
+            if hi == lo or not len(who):
+                continue
+            s = tables[0][:, who][self.codes[lo:hi, 0]]
+            for level in range(1, LEVELS):
+                s += tables[level][:, who][self.codes[lo:hi, level]]
+            s += base[c, who]
+            s = np.maximum((s / self.length[lo:hi, None]).T, np.float32(-5), order="C")
+            best, numbers = _top_scores(s, min(PER_CELL, hi - lo))
+            columns = at[:, None] * PER_CELL + np.arange(best.shape[1])
+            place[who[:, None], columns] = best + lo
+            score[who[:, None], columns] = numbers
+        keep, score = _top_scores(score, min(rerank, score.shape[1]))
+        return self.order[np.take_along_axis(place, keep, 1)], score
+
+
+def search_block(q: np.ndarray, x: np.ndarray, k: int, rerank: int = RERANK, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The k rows of x with the greatest cosine for each row of q, and these; -inf where a query has fewer."""
+    unit_q = _unit(q)
+    block = None if exact else Block(x)
+    unit_x = _unit(x) if exact else block.unit
+    norm_x, norm_q = (np.sqrt((a.astype(np.float64) ** 2).sum(1)) for a in (x, q))
+    places, cosines = [], []
+    for i in range(0, len(q), 1024):
+        part = unit_q[i : i + 1024]
+        if exact:
+            at = _top(part @ unit_x.T, min(2 * k, len(x)))
+            some = np.ones(at.shape, dtype=bool)
+        else:
+            at, approximate = block.candidates(part, rerank)
+            s = np.concatenate([np.einsum("qrd,qd->qr", unit_x[at[j : j + 128]], part[j : j + 128]) for j in range(0, len(part), 128)])
+            s[approximate <= NONE + 1] = -np.inf
+            best = _top(s, min(2 * k, s.shape[1]))
+            at, some = np.take_along_axis(at, best, 1), np.take_along_axis(s, best, 1) > -np.inf
+        # the last places are decided in double precision
+        dot = np.einsum("qrd,qd->qr", x[at].astype(np.float64), q[i : i + 1024].astype(np.float64))
+        c = np.where(some, dot / norm_x[at] / norm_q[i : i + 1024, None], -np.inf)
+        order = np.argsort(-c, axis=1, kind="stable")[:, :k]
+        places.append(np.take_along_axis(at, order, 1))
+        cosines.append(np.take_along_axis(c, order, 1))
+    return np.concatenate(places), np.concatenate(cosines)
+
+
+def _search(routed: DataFrame, dims: list[int], k: int, rerank: int, exact: bool) -> DataFrame:
+    """(id, found): the k best of each block that a class asked, its own class among them."""
+
+    def task(key: tuple, t: pa.Table) -> pa.Table:
+        dim = dims[key[0].as_py()]
+        t = t.combine_chunks()
+        ids, role = t.column("id").to_numpy(), t.column("role").to_numpy()
+        raw = np.frombuffer(b"".join(t.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dim)
+        here, at = np.unique(ids[role & 1 > 0], return_index=True)
+        x = raw[np.flatnonzero(role & 1)[at]]
+        asking, at = np.unique(ids[role & 2 > 0], return_index=True)
+        q = raw[np.flatnonzero(role & 2)[at]]
+        if not len(here) or not len(asking):
+            return pa.table({"id": pa.array([], pa.int64()), "found": pa.array([], pa.list_(_HIT))})
+        place, cosine = search_block(q, x, k, rerank, exact)
+        some = cosine > -np.inf
+        ends = np.concatenate([[0], np.cumsum(some.sum(1))]).astype(np.int32)
+        hits = pa.StructArray.from_arrays([pa.array(-cosine[some]), pa.array(here[place[some]])], fields=list(_HIT))
+        return pa.table({"id": asking, "found": pa.ListArray.from_arrays(pa.array(ends), hits)})
+
+    return routed.groupBy("g", "s", "i", "j").applyInArrow(task, "id long, found array<struct<c:double,other:long>>")
+
+
+# --- all of it ----------------------------------------------------------------------------------------------------
+
+
+def neighbours(vectors: DataFrame, k: int = K, margin: float = MARGIN, probes: int = PROBES, rerank: int = RERANK, exact: bool = False) -> DataFrame:
     """(model, dim, key, rank, neighbour, cosine): the k most similar vectors of every usable vector."""
-    same = F.xxhash64("model", "dim", "vec"), F.xxhash64(F.lit(1), "vec", "dim", "model")
-    rows = table_in_shared_dir(usable(vectors).withColumns({"h1": same[0], "h2": same[1]}), "vectors")
-    numbered = rows.selectExpr("model", "dim", "key", "h1", "h2", "row_number() over (partition by model, dim, h1, h2 order by key) as nth").where(F.col("nth") <= k + 1)
-    least = numbered.select("h1", "h2", "key", F.xxhash64("h1", "h2").alias("id"))
-    reps = table_in_shared_dir(_first_of_classes(rows), "vector-classes")
     spark = vectors.sparkSession
-    counts = collect_bounded(reps.groupBy("model", "dim").count(), GROUPS, "groups of vectors")
-    groups, books = {}, []
-    for r in counts:
-        cells = max(1, min(MAX_CELLS, r["count"] // CELL))
-        mine = reps.where(F.col("model").eqNullSafe(F.lit(r["model"])) & (F.col("dim") == r["dim"]))
-        sample = mine.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(max(SAMPLE, 4 * cells)).select("vec").toArrow()
-        groups[r["model"], r["dim"]] = len(books)
-        books.append(train(_unit(sample.column("vec").combine_chunks(), r["dim"]), cells))
-    if not books:
+    rows = usable(vectors)
+    keys = table_in_shared_dir(rows.groupBy("model", "dim", "key").agg(F.min("id").alias("id")), "vector-keys")
+    sizes = keys.groupBy("model", "dim", "id").agg(F.count("*").alias("copies"))
+    counts = collect_bounded(sizes.groupBy("model", "dim").agg(F.count("*").alias("n"), F.max("copies").alias("most")), GROUPS, "groups of vectors")
+    if not counts:
         return spark.createDataFrame([], "model string, dim int, key string, rank int, neighbour string, cosine double")
-    index = table_in_shared_dir(_index(reps, groups, books), "vector-index")
-    found = _search(index, books, k + 1).groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
-    best = found.selectExpr("id", "other", "cosine", "row_number() over (partition by id order by cosine desc, other) as nth").where(F.col("nth") <= k + 1)
+    wanted = [max(PER_REGION, min(max(SAMPLE, PER_REGION * r["n"] // REGION), SAMPLE_FLOATS // (r["dim"] * len(counts)))) for r in counts]
+    groups = F.broadcast(spark.createDataFrame([(r["model"], r["dim"], i, min(1.0, w / r["n"])) for i, (r, w) in enumerate(zip(counts, wanted))], "of_model string, of_dim int, g int, part double"))  # GROUPS rows at most
+    rows = rows.join(groups, F.col("model").eqNullSafe(F.col("of_model")) & (F.col("dim") == F.col("of_dim"))).select("g", "part", "id", "vec")
+    if max(r["most"] for r in counts) > HOT_KEYS:
+        hot = [r["id"] for r in sizes.where(F.col("copies") > HOT_KEYS).orderBy(F.desc("copies")).limit(HOT_CLASSES).collect()]
+        once = rows.where(F.col("id").isin(hot)).groupBy("id").agg(*(F.first(c).alias(c) for c in ("g", "part", "vec")))
+        rows = rows.where(~F.col("id").isin(hot)).unionByName(once)
+    chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    sample = rows.where(chance < F.col("part")).groupBy("id").agg(F.first("g").alias("g"), F.first("vec").alias("vec")).orderBy("id").toArrow().combine_chunks()  # about SAMPLE_FLOATS numbers
+    regions = []
+    for i, (r, w) in enumerate(zip(counts, wanted)):
+        mine = sample.filter(pa.array(sample.column("g").to_numpy() == i)).slice(0, 2 * w)
+        x = _unit(_matrix(mine.column("vec").combine_chunks(), r["dim"])) if len(mine) else np.eye(1, r["dim"], dtype=np.float32)
+        regions.append(Regions(x, r["n"], margin, probes, exact))
+    found = _search(_route(rows, regions), [r["dim"] for r in counts], k + 1, rerank, exact)
+    best = found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found")).select("id", F.explode("found").alias("x"))
     # classes back to keys: a class stands for its k + 1 least keys
-    named = best.select("id", F.col("other"), "cosine").join(least.select(F.col("id").alias("other"), F.col("key").alias("neighbour")), "other")
-    named = named.withColumn("cosine", F.when(F.col("id") == F.col("other"), F.lit(1.0)).otherwise(F.col("cosine")))
-    top = named.selectExpr("id", "neighbour", "cosine", "row_number() over (partition by id order by cosine desc, neighbour) as nth").where(F.col("nth") <= k + 1)
-    lists = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nth", "neighbour", "cosine"))).alias("list"))
-    members = rows.select("model", "dim", "key", F.xxhash64("h1", "h2").alias("id"))
-    mine = members.join(lists, "id").select("model", "dim", "key", F.posexplode(F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("key")), 1, k)).alias("pos", "x"))
-    return mine.select("model", "dim", "key", (F.col("pos") + 1).alias("rank"), F.col("x.neighbour").alias("neighbour"), F.col("x.cosine").alias("cosine"))
-
-
-def _first_of_classes(rows: DataFrame) -> DataFrame:
-    """One row of each class of equal vectors."""
-    return rows.groupBy("h1", "h2").agg(F.first("model").alias("model"), F.first("dim").alias("dim"), F.first("vec").alias("vec")).withColumn("id", F.xxhash64("h1", "h2"))
+    least = keys.selectExpr("id", "key", "row_number() over (partition by id order by key) as nth").where(F.col("nth") <= k + 1).groupBy("id").agg(F.collect_list("key").alias("keys"))
+    named = best.select("id", F.col("x.other").alias("other"), F.when(F.col("x.other") == F.col("id"), F.lit(-1.0)).otherwise(F.col("x.c")).alias("c")).join(least.withColumnRenamed("id", "other"), "other")
+    lists = named.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(F.transform("keys", lambda x: F.struct(F.col("c").alias("c"), x.alias("key")))))), 1, k + 1).alias("list"))
+    mine = keys.join(lists, "id").select("model", "dim", "key", F.posexplode(F.slice(F.filter("list", lambda x: x["key"] != F.col("key")), 1, k)).alias("pos", "x"))
+    return mine.select("model", "dim", "key", (F.col("pos") + 1).alias("rank"), F.col("x.key").alias("neighbour"), (-F.col("x.c")).alias("cosine"))
 
 
 def similar_pairs(found: DataFrame) -> DataFrame:

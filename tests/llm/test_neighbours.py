@@ -31,7 +31,8 @@ def vectors(n, dim, seed, model="m"):
 
 
 def test_recall_against_brute_force(spark, cluttered, monkeypatch):
-    monkeypatch.setattr(neighbours, "CELL", 50)
+    monkeypatch.setattr(neighbours, "REGION", 150)
+    monkeypatch.setattr(neighbours, "SAMPLE", 600)
     monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 40)
     monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 64)
     rows = vectors(1200, 16, 1) + vectors(64, 32, 2, "w") + vectors(300, 16, 3, None)
@@ -41,6 +42,16 @@ def test_recall_against_brute_force(spark, cluttered, monkeypatch):
     want = brute(rows)
     assert len(got & want) / len(want) > 0.97
     assert len(got) == len(want)
+    every = {(r.model, r.dim, r.key, r.neighbour) for r in neighbours.neighbours(spark.createDataFrame(rows, SCHEMA), exact=True).collect()}
+    assert every == want
+
+
+def test_a_class_that_holds_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "REGION", 40)
+    monkeypatch.setattr(neighbours, "SAMPLE", 100)
+    rows = vectors(200, 16, 4) + [("m", f"same{i:04}", 16, [1.0] * 16) for i in range(400)]
+    got = {(r.model, r.dim, r.key, r.neighbour) for r in neighbours.neighbours(spark.createDataFrame(rows, SCHEMA), exact=True).collect()}
+    assert got == brute(rows)
 
 
 def test_dirt_and_ties(spark):
