@@ -10,7 +10,8 @@ sets decide. (Bits in place of symbols would need balls of radius 5 and more: at
 A pair at similarity 0.6 is missed with probability 0.003, one at 0.65 with 0.0006, one at 0.7 with 0.0001.
 
 Texts with equal shingle sets are one class and are searched once. Table entries that more than ``BLOCK`` classes share
-are compared as blocks of whole fingerprints, spread over tasks, and only pairs within the distance leave a task.
+are compared as blocks of fingerprints, spread over tasks, and only pairs within the distance leave a task. Those that a
+sample shows to be shared by many are cut into blocks before they are shuffled.
 Texts with fewer shingle words have no shingles; among them only equal texts are alike. Null texts are left out.
 Repeated rows count once. Extra columns are ignored.
 """
@@ -38,6 +39,8 @@ SYMBOLS = WIDTH * SEGMENTS
 LEAST_EQUAL = 11
 #: Classes that meet in one table entry and are paired at once; beyond that, blocks.
 BLOCK = 128
+#: Of how many classes one is looked at to find hot keys beforehand, and how many such keys are sent to all tasks at most.
+ONE_IN, SUSPECTS = 64, 100_000
 
 _rng = np.random.default_rng(20240101)
 _MUL = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * tn.U64(2) + tn.U64(1)
@@ -129,12 +132,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), h))], schema=_PAIR)
 
 
-def _hot_pairs(hot: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs within the fingerprint distance among all classes that share a hot key, block against block."""
-    members = hot.select(F.col("a").alias("key"), F.col("b").alias("cid")).distinct()
+def _suspects(prints: DataFrame) -> list[int]:
+    """Keys that many classes share, as a sample of the classes shows: where rows are routed depends on them, no result does."""
+    some = prints.where((F.size("symbols") > 0) & (F.pmod(F.xxhash64(F.lit("hot"), "cid"), F.lit(ONE_IN)) == 0))
+    seen = some.select(F.explode(F.array(*_ball_keys())).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * BLOCK // ONE_IN)
+    return [r["key"] for r in seen.orderBy(F.desc("n")).limit(SUSPECTS).collect()]
+
+
+def _hot_pairs(members: DataFrame, small: DataFrame) -> DataFrame:
+    """Pairs within the fingerprint distance among all classes that share a hot key (members: key, cid), block against block."""
+    members = members.distinct()
     blocks = F.ceil(F.col("n") / (4 * BLOCK)).cast("int")
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("blocks", blocks)
-    own = sized.withColumn("own", F.pmod("cid", F.col("blocks")).cast("int")).join(prints.select("cid", "symbols"), "cid")
+    own = sized.withColumn("own", F.pmod("cid", F.col("blocks")).cast("int")).join(small, "cid")
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "symbols")
 
@@ -154,29 +164,41 @@ def _hot_pairs(hot: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def candidates(prints: DataFrame) -> DataFrame:
-    """(a, b): cids of two classes within the fingerprint distance, that met in the ball of some segment."""
-    keys = prints.where("size(symbols) > 0").select("cid", F.explode(F.array(*_ball_keys())).alias("key"))
+    """(a, b): cids of two classes within the fingerprint distance, that met in the ball of some segment.
+
+    The distance is taken over a byte of each symbol: unequal symbols agree in it once in 256 times, and the exact
+    similarity decides later. It is the same for all keys, hot or not.
+    """
+    prints = prints.where("size(symbols) > 0")
+    keys = prints.select("cid", F.explode(F.array(*_ball_keys())).alias("key"))
+    # what a sample shows as hot goes to its blocks at once; what only shows in its task follows from there
+    suspects = _suspects(prints)
+    hot = None
+    if suspects:
+        many = F.broadcast(prints.sparkSession.createDataFrame([(k,) for k in suspects], "key long"))  # SUSPECTS rows at most
+        hot, keys = keys.join(many, "key", "left_semi"), keys.join(many, "key", "left_anti")
     met = table_in_shared_dir(keys.repartition("key").sortWithinPartitions("key").select("key", "cid").mapInArrow(_meet, "a long, b long, hot boolean").distinct(), "met")
     pairs = met.where("not hot").select("a", "b")
-    # a byte of each symbol is enough here: unequal symbols agree in it once in 256 times
-    small = prints.where("size(symbols) > 0").select("cid", F.transform("symbols", lambda x: F.pmod(x, F.lit(256)) - 128).cast("array<tinyint>").alias("symbols"))
+    small = prints.select("cid", F.transform("symbols", lambda x: F.pmod(x, F.lit(256)) - 128).cast("array<tinyint>").alias("symbols"))
     for c in ("a", "b"):
         pairs = pairs.join(small.select(F.col("cid").alias(c), F.col("symbols").alias(f"symbols_{c}")), c)
     equal = F.aggregate(F.zip_with("symbols_a", "symbols_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
     near = pairs.where(equal >= LEAST_EQUAL).select("a", "b")
-    hot = met.where("hot")
-    return near.unionByName(_hot_pairs(hot, prints)).distinct() if not hot.isEmpty() else near
+    late = met.where("hot").select(F.col("a").alias("key"), F.col("b").alias("cid"))
+    if not late.isEmpty():
+        hot = late if hot is None else hot.select("key", "cid").unionByName(late)
+    return near if hot is None else near.unionByName(_hot_pairs(hot.select("key", "cid"), small)).distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, threshold: float, words: int) -> DataFrame:
     """(a, b, similarity) of the pairs whose shingle sets reach the threshold; a and b are ids.
 
     The sets are compared as 32-bit hashes: two sets of 140 shingles hold a false match with probability 5e-6. Texts that
-    are in no pair are dropped, before anything is shuffled, by a bit table of fixed size; the joins decide.
+    are in no pair are dropped, before anything is shuffled, by a bit table of bounded size; the joins decide.
     """
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    maybe = bits.Filter(wanted, "cid")
+    maybe = bits.Filter(wanted, "cid", 2 * pairs.count())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,8 +236,8 @@ class NearCopies:
         return copies.all_pairs(self.pairs_of_classes.select(F.col("a").alias(a), F.col("b").alias(b)), self.members, a, b)
 
     def groups(self, id_col: str) -> DataFrame:
-        """One row for each id: its group (the least id that links reach), the size of its class of equal shingle sets,
-        and to how many other classes it is linked. A record without any link is a group of its own."""
+        """One row for each id: its group (the least id that links reach), its class of equal shingle sets (the least id in
+        it) and how many ids that has, and to how many other classes it is linked. A record without any link is a group of its own."""
         from gleaner.llm.components import components
 
         links = table_in_shared_dir(self.pairs_of_classes.select("a", "b"), "near-links")
@@ -224,6 +246,6 @@ class NearCopies:
         of = self.ids.join(self.members.select(F.col("member").alias("id"), "rep", "copies"), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
         rows = of.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(both.withColumnRenamed("a", "rep"), "rep", "left")
         return rows.select(
-            F.col("id").alias(id_col), F.coalesce("label", "rep").alias("group_id"),
+            F.col("id").alias(id_col), F.coalesce("label", "rep").alias("group_id"), F.col("rep").alias("class_id"),
             F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )

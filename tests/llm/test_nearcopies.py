@@ -50,15 +50,29 @@ def test_all_pairs(spark, cluttered):
 def test_hot_keys_lose_nothing(spark, monkeypatch):
     rows = [(f"{i:03}", " ".join(WORDS[:60] + [f"tail{i}"])) for i in range(40)] + corpus(2)
     monkeypatch.setattr(nearcopies, "BLOCK", 3)
+    monkeypatch.setattr(nearcopies, "ONE_IN", 1)  # every class is looked at, so keys with six classes are cut into blocks beforehand
     got = {tuple(r) for r in nearcopies.NearCopies(spark.createDataFrame(rows, "chunk_id string, text string"), "chunk_id", "text").pairs("a", "b").collect()}
     want = brute(rows)
     assert got <= want and len(want - got) <= 0.01 * len(want)
 
 
+def test_keys_that_turn_out_hot():
+    import numpy as np
+    import pyarrow as pa
+
+    n = nearcopies.BLOCK + 30
+    key, cid = np.repeat([3, 5, 9], [4, n, 2]), np.arange(n + 6)
+    cuts = [0, 2, 60, 61, len(key)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i:j]), pa.array(cid[i:j])], names=["key", "cid"]) for i, j in zip(cuts, cuts[1:])]
+    rows = [r for b in nearcopies._meet(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert {(a, b) for a, b, hot in rows if hot} == {(5, c) for c in range(4, n + 4)}
+    assert {(a, b) for a, b, hot in rows if not hot} == {(a, b) for a in range(4) for b in range(a + 1, 4)} | {(n + 4, n + 5)}
+
+
 def test_groups_and_stars(spark):
     rows = [("a", "one two three four five"), ("b", "one two three four five"), ("c", "other words are written here"), ("d", None)]
     n = nearcopies.NearCopies(spark.createDataFrame(rows, "chunk_id string, text string"), "chunk_id", "text")
-    assert {tuple(r) for r in n.groups("chunk_id").collect()} == {("a", "a", 2, 0), ("b", "a", 2, 0), ("c", "c", 1, 0)}
+    assert {tuple(r) for r in n.groups("chunk_id").collect()} == {("a", "a", "a", 2, 0), ("b", "a", "a", 2, 0), ("c", "c", "c", 1, 0)}
     from gleaner.llm import copies
 
     many = spark.createDataFrame([(f"m{i:02}", "m00", 30) for i in range(30)], "member string, rep string, copies long")
@@ -102,7 +116,7 @@ def test_components_of_a_chain(spark):
 
 
 def test_bit_table(spark):
-    f = bits.Filter(spark.createDataFrame([(i * 7919 - 5000,) for i in range(500)], "n long"), "n")
+    f = bits.Filter(spark.createDataFrame([(i * 7919 - 5000,) for i in range(500)], "n long"), "n", 500)
     import numpy as np
 
     assert f.holds(np.array([i * 7919 - 5000 for i in range(500)])).all()
