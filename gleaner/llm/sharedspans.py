@@ -37,7 +37,8 @@ SHARD_PHRASES = 2000
 BLOCK_CHARS = 4 << 20
 #: Occurrences of one phrase compared within one task.
 BLOCK_OCCURRENCES = 256
-PAIR_GROUPS = 64
+#: Occurrences that one task compares, of phrases that aren't cut into blocks: about this many, and GROUPS tasks at least.
+GROUP_OCCURRENCES, GROUPS = 16384, 16
 
 _FP = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_chars", pa.int32()), ("grams", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 _OCC = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("left", pa.string()), ("right", pa.string())])
@@ -98,11 +99,12 @@ def _table(rows: Iterator[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_batches(pieces, schema=schema)
 
 
-def occurrences(documents: DataFrame, fps: DataFrame, min_chars: int = MIN_CHARS, k: int = K) -> DataFrame:
-    """Every occurrence of every recurring phrase, with the characters on both sides."""
+def occurrences(documents: DataFrame, fps: DataFrame, min_chars: int = MIN_CHARS, k: int = K) -> tuple[DataFrame, int]:
+    """Every occurrence of every recurring phrase, with the characters on both sides; and how many groups to compare them in."""
     each = fps.select("doc_id", F.explode(F.arrays_zip("grams", "at")).alias("x")).select("doc_id", F.col("x.grams").alias("gram"), F.col("x.at").alias("at"))
     phrases = table_in_shared_dir(each.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("owner")).where("n > 1"), "phrases")
     shards = max(1, -(-phrases.count() // SHARD_PHRASES))
+    groups = max(GROUPS, -(-(phrases.agg(F.sum("n")).first()[0] or 0) // GROUP_OCCURRENCES))
     shard = F.pmod(F.xxhash64("owner.doc_id"), F.lit(shards)).cast("int")
     phrases = phrases.select("gram", "n", "owner", shard.alias("shard"))
     own = phrases.groupBy(F.col("owner.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("gram", F.col("owner.at").alias("at"))).alias("own"))
@@ -122,7 +124,7 @@ def occurrences(documents: DataFrame, fps: DataFrame, min_chars: int = MIN_CHARS
         return _table(_stream(list(words), docs, side), _OCC)
 
     a, b = compiled.select("shard", "block", "gram", "phrase"), streams.select("shard", "block", "doc_id", "text")
-    return a.groupBy("shard", "block").cogroup(b.groupBy("shard", "block")).applyInArrow(shard_task, "gram long, doc_id long, at array<int>, left string, right string")
+    return a.groupBy("shard", "block").cogroup(b.groupBy("shard", "block")).applyInArrow(shard_task, "gram long, doc_id long, at array<int>, left string, right string"), groups
 
 
 def _ends(texts: list[str], width: int) -> np.ndarray:
@@ -154,7 +156,7 @@ def _compare(doc: list[int], at: list[list[int]], left: list[str], right: list[s
                 yield doc[x], doc[y], at[x][0] - int(l[j]), q - int(l[j]), n
 
 
-def spans(occ: DataFrame, min_chars: int = MIN_CHARS, k: int = K) -> DataFrame:
+def spans(occ: DataFrame, groups: int, min_chars: int = MIN_CHARS, k: int = K) -> DataFrame:
     """Verified shared spans between different texts; one pair of texts has a row for each phrase they share."""
     counted = occ.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK_OCCURRENCES).cast("int")
@@ -162,7 +164,7 @@ def spans(occ: DataFrame, min_chars: int = MIN_CHARS, k: int = K) -> DataFrame:
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     several = F.col("blocks") > 1
     parts = parts.select(
-        F.when(several, F.col("gram")).otherwise(F.pmod("gram", F.lit(PAIR_GROUPS))).alias("g"),
+        F.when(several, F.col("gram")).otherwise(F.pmod("gram", F.lit(groups).cast("long"))).alias("g"),
         F.when(several, F.least("own", "other") + 1).otherwise(F.lit(0)).alias("i"),
         F.when(several, F.greatest("own", "other") + 1).otherwise(F.lit(0)).alias("j"),
         "own", "gram", "doc_id", "at", "left", "right",
@@ -195,7 +197,7 @@ class SharedSpans:
         self.members = copies.members(ids, self.classes, "doc_id", "digest")
         self.lengths = fps.select("doc_id", "n_chars")
         reps = fps.join(self.classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        self.spans = spans(occurrences(documents, reps, min_chars, k), min_chars, k)
+        self.spans = spans(*occurrences(documents, reps, min_chars, k), min_chars, k)
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b), a < b: texts with a common substring of the least length; whole copies count, all pairs of them."""
