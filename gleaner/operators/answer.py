@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,31 +17,45 @@ LEAST_CHARS = 15
 NO_ANSWER = "I don't have that in the indexed sources."
 INSTRUCTION = "Answer using only the context above, with [n] citations."
 SYSTEM = "Answer from the numbered context only and cite the numbers. Where the context doesn't hold the answer, say exactly: " + NO_ANSWER
+BLOCK = "[Context %d]\nSource: %s\n%s\n"
+TRUNCATED = "[Context truncated: %d further sources omitted]"
+CONVERSATION, USER, ASSISTANT, QUESTION = "Conversation so far:\n", "User: ", "Assistant: ", "\nQuestion: "
+
+
+@dataclass(frozen=True)
+class Templates:
+    """The texts of a prompt; any of them can be replaced."""
+
+    system: str = SYSTEM
+    instruction: str = INSTRUCTION
+    block: str = BLOCK
+    truncated: str = TRUNCATED
 
 
-def context_blocks(hits: DataFrame, budget: int = BUDGET_CHARS) -> DataFrame:
+def context_blocks(hits: DataFrame, budget: int = BUDGET_CHARS, block_format: str = BLOCK) -> DataFrame:
     """(qid, position, source, block, kept): contexts in order; kept is true for the prefix within the budget."""
-    block = F.format_string("[Context %d]\nSource: %s\n%s\n", F.col("position"), F.coalesce("source", F.lit("")), F.col("text"))
+    block = F.format_string(block_format, F.col("position"), F.coalesce("source", F.lit("")), F.col("text"))
     rows = hits.select("qid", "position", "source", block.alias("block"))
     return rows.selectExpr("*", f"sum(length(block)) over (partition by qid order by position rows between unbounded preceding and current row) <= {budget} as kept")
 
 
-def prompts(queries: DataFrame, hits: DataFrame, budget: int = BUDGET_CHARS, history: DataFrame | None = None) -> DataFrame:
+def prompts(queries: DataFrame, hits: DataFrame, budget: int = BUDGET_CHARS, history: DataFrame | None = None, templates: Templates | None = None) -> DataFrame:
     """(qid, messages): a system and a user message for every query; history(qid, turn, role, text) gives its last four turns."""
-    b = context_blocks(hits, budget).groupBy("qid").agg(
+    texts = templates or Templates()
+    b = context_blocks(hits, budget, texts.block).groupBy("qid").agg(
         F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("position", "block")))).alias("blocks"), F.count_if(~F.col("kept")).alias("left_out")
     )
-    sections = F.concat(F.transform(F.coalesce("blocks", F.array()), lambda x: x["block"]), F.when(F.coalesce("left_out", F.lit(0)) == 0, F.array()).otherwise(F.array(F.format_string("[Context truncated: %d further sources omitted]", "left_out"))))
+    sections = F.concat(F.transform(F.coalesce("blocks", F.array()), lambda x: x["block"]), F.when(F.coalesce("left_out", F.lit(0)) == 0, F.array()).otherwise(F.array(F.format_string(texts.truncated, "left_out"))))
     q = queries.select("qid", "query").join(b, "qid", "left")
     past = F.lit("")
     if history is not None:
         last = history_window(history, 4)
-        said = last.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.col("text")).alias("line")))).alias("turns"))
+        said = last.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.when(F.col("role") == "user", USER).otherwise(ASSISTANT), F.col("text")).alias("line")))).alias("turns"))
         q = q.join(said, "qid", "left")
-        past = F.coalesce(F.concat(F.lit("Conversation so far:\n"), F.array_join(F.transform("turns", lambda t: t["line"]), "\n"), F.lit("\n\n")), F.lit(""))
-    user = F.concat(past, F.array_join(sections, ""), F.lit("\nQuestion: "), F.col("query"), F.lit("\n\n" + INSTRUCTION))
+        past = F.coalesce(F.concat(F.lit(CONVERSATION), F.array_join(F.transform("turns", lambda t: t["line"]), "\n"), F.lit("\n\n")), F.lit(""))
+    user = F.concat(past, F.array_join(sections, ""), F.lit(QUESTION), F.col("query"), F.lit("\n\n" + texts.instruction))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return q.select("qid", F.array(message("system", F.lit(SYSTEM)), message("user", user)).alias("messages"))
+    return q.select("qid", F.array(message("system", F.lit(texts.system)), message("user", user)).alias("messages"))
 
 
 def history_window(turns: DataFrame, n: int) -> DataFrame:

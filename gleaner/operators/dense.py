@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import ranking
 from gleaner.operators.sparse import DIGITS, top_k
 
 SENT_FLOATS = 4_000_000
@@ -25,19 +26,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _best(qids: list, q: np.ndarray, ids: pa.Array, x: np.ndarray, k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    order_of_id = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object)))
+def _best(qids: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray, k: int, schema: pa.Schema) -> pa.RecordBatch:
+    """At least the k best of some vectors for each query."""
+    order, rows, columns, scores = ranking.places(ids), [], [], []
     for i in range(0, len(q), 256):
         s = np.round(q[i : i + 256] @ x.T, DIGITS) + 0.0
-        keep = min(k, len(x))
-        for j, row in enumerate(s):
-            at = np.lexsort((order_of_id, -row))[:keep] if keep < len(x) else np.arange(len(x))
-            yield pa.RecordBatch.from_arrays([pa.array([qids[i + j]] * len(at), type=schema.field("qid").type), ids.take(pa.array(at)), pa.array(row[at])], schema=schema)
-
-
-def _merged(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
-    t = pa.Table.from_batches(batches, schema=schema).combine_chunks()
-    return t.to_batches()[0] if t.num_rows else pa.RecordBatch.from_pylist([], schema=schema)
+        r, c = ranking.best(s, k, order)
+        rows.append(r + i)
+        columns.append(c)
+        scores.append(s[r, c])
+    if not rows or not len(x):
+        return pa.RecordBatch.from_pylist([], schema=schema)
+    return pa.RecordBatch.from_arrays([qids.take(pa.array(np.concatenate(rows))), ids.take(pa.array(np.concatenate(columns))), pa.array(np.concatenate(scores))], schema=schema)
 
 
 def usable(rows: DataFrame, vec: str, dim: int) -> DataFrame:
@@ -55,11 +55,11 @@ def scores(queries: DataFrame, vectors: DataFrame, k: int, dim: int, sent_floats
     n = q.count()
     if n * dim <= sent_floats:
         t = q.toArrow()
-        qids, matrix = t.column("qid").to_pylist(), _matrix(t.column("vec")) if n else np.zeros((0, dim))
+        qids, matrix = t.column("qid").combine_chunks(), _matrix(t.column("vec")) if n else np.zeros((0, dim))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield _merged(_best(qids, matrix, b.column("id"), _matrix(b.column("vec")), k, schema), schema)
+                yield _best(qids, matrix, b.column("id"), _matrix(b.column("vec")), k, schema)
 
         return v.mapInArrow(scan, out)
     qb, vb = -(-n // BLOCK_ROWS), max(1, -(-v.count() // BLOCK_ROWS))
@@ -69,7 +69,7 @@ def scores(queries: DataFrame, vectors: DataFrame, k: int, dim: int, sent_floats
     def block(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
             return pa.Table.from_batches([], schema=schema)
-        return pa.Table.from_batches(_best(a.column("qid").to_pylist(), _matrix(a.column("qvec")), b.column("id").combine_chunks(), _matrix(b.column("vec")), k, schema), schema=schema)
+        return pa.Table.from_batches([_best(a.column("qid").combine_chunks(), _matrix(a.column("qvec")), b.column("id").combine_chunks(), _matrix(b.column("vec")), k, schema)])
 
     return left.groupBy("qi", "qj").cogroup(right.groupBy("i", "j")).applyInArrow(block, out)
 

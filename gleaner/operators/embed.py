@@ -79,6 +79,72 @@ def embed(rows: DataFrame, factory: Callable[[], EmbeddingProvider], text_col: s
     return rows.withColumn(out_col, vectors(text_col))
 
 
+def mean_pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit vectors from token states (texts, tokens, width): the mean over the tokens that the mask keeps; zero without any."""
+    m = mask[:, :, None].astype(np.float64)
+    mean = (states * m).sum(axis=1) / np.maximum(m.sum(axis=1), 1e-9)
+    length = np.linalg.norm(mean, axis=1, keepdims=True)
+    return mean / np.where(length > 0, length, 1.0)
+
+
+class OnnxEmbedder:
+    """A sentence encoder from local files: an ONNX model and its tokenizer. Texts are cut to ``tokens`` tokens by the model's
+    own limit, and run in batches."""
+
+    def __init__(self, model: str, tokenizer: str, dimensions: int, tokens: int = 256, batch: int = 32):
+        import os
+
+        for f in (model, tokenizer):
+            if not os.path.exists(f):
+                raise FileNotFoundError(f"the encoder needs {f}, which isn't there")
+        import onnxruntime
+        import tokenizers
+
+        self.name, self.dimensions, self.batch = os.path.basename(model), dimensions, batch
+        self.session = onnxruntime.InferenceSession(model, providers=["CPUExecutionProvider"])
+        self.tokenizer = tokenizers.Tokenizer.from_file(tokenizer)
+        self.tokenizer.enable_truncation(tokens)
+        self.tokenizer.enable_padding()
+
+    def embed_batch(self, texts: list[str]) -> np.ndarray:
+        wanted = {i.name for i in self.session.get_inputs()}
+        out = [np.zeros((0, self.dimensions))]
+        for i in range(0, len(texts), self.batch):
+            coded = self.tokenizer.encode_batch(texts[i : i + self.batch])
+            mask = np.array([c.attention_mask for c in coded], dtype=np.int64)
+            given = {"input_ids": np.array([c.ids for c in coded], dtype=np.int64), "attention_mask": mask, "token_type_ids": np.zeros_like(mask)}
+            states = self.session.run(None, {k: v for k, v in given.items() if k in wanted})[0]
+            out.append(mean_pooled(states, mask))
+        return np.concatenate(out)
+
+
+class RemoteEmbedder:
+    """Vectors from an endpoint: ``call(texts)`` gives (index, vector) pairs in any order; failures worth it are tried again."""
+
+    def __init__(self, call: Callable[[list[str]], list[tuple[int, list[float]]]], name: str, dimensions: int, batch: int = 128, attempts: int = 4):
+        self.call, self.name, self.dimensions, self.batch, self.attempts = call, name, dimensions, batch, attempts
+
+    def embed_batch(self, texts: list[str]) -> np.ndarray:
+        from gleaner.functions.retries import with_retries
+
+        out = np.zeros((len(texts), self.dimensions))
+        for i in range(0, len(texts), self.batch):
+            part = texts[i : i + self.batch]
+            answers = with_retries(lambda: self.call(part), self.attempts)  # noqa: B023
+            if sorted(n for n, _ in answers) != list(range(len(part))):
+                raise ValueError("the endpoint gave other vectors than were asked for")
+            for n, v in answers:
+                out[i + n] = v
+        return out
+
+
+def preflight(provider: EmbeddingProvider) -> None:
+    """One vector of a short text, so that a wrong model or endpoint shows before a corpus is read."""
+    got = provider.embed_batch(["a short text to try"])
+    if got.shape != (1, provider.dimensions):
+        raise ValueError(f"the provider {provider.name} gives vectors of shape {got.shape[1:]}, not {provider.dimensions} numbers")
+
+
 # --- the cache ----------------------------------------------------------------------------------------------------
 
 
@@ -106,3 +172,28 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def evict(entries: DataFrame, most: int, hits: str, order: str) -> DataFrame:
     """The ``most`` entries with the most hits, of equal ones the newest: a sorted limit, not a window over one partition."""
     return entries.orderBy(F.col(hits).desc(), F.col(order).desc()).limit(most)
+
+
+CACHE = "model string, dim int, key string, vec array<float>, cached_at timestamp_ntz"
+
+
+def text_key(text: Column | str) -> Column:
+    """The cache's key of a text."""
+    return F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary"), 256)
+
+
+def embed_through(rows: DataFrame, cache: DataFrame, factory: Callable[[], EmbeddingProvider], model: str, dim: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows with ``vec``, new cache rows): each distinct text is embedded once, and only if the cache doesn't hold it.
+
+    The cache's key is (model, dim, key of the text), so models and widths never mix. The new rows are written to the shared
+    folder, so that they are computed once, whatever reads them.
+    """
+    from gleaner.runtime import table_in_shared_dir
+
+    mine = cache.where((F.col("model") == model) & (F.col("dim") == dim))
+    keyed = rows.withColumn("vector_key", text_key(text_col))
+    missing = keyed.select(F.col("vector_key").alias("key"), F.coalesce(text_col, F.lit("")).alias("text")).join(mine.select("key"), "key", "left_anti").groupBy("key").agg(F.min("text").alias("text"))
+    new = embed(missing, factory).select(F.lit(model).alias("model"), F.lit(dim).alias("dim"), "key", "vec", F.current_timestamp().cast("timestamp_ntz").alias("cached_at"))
+    new = table_in_shared_dir(new, "vectors-new")
+    every = last_wins(mine, ["model", "dim", "key"], "cached_at").select("key", "vec").unionByName(new.select("key", "vec"))
+    return keyed.join(every.withColumnRenamed("key", "vector_key"), "vector_key").drop("vector_key"), new

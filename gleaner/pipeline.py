@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +12,14 @@ from gleaner.functions import text as tx
 from gleaner.operators import answer, dense, embed, evaluate, fusion, sparse, store
 from gleaner.operators.chunking import ChunkSettings, chunk_documents
 from gleaner.settings import RetrievalSettings
-from gleaner.runtime import table_in_shared_dir
+from gleaner.runtime import collect_bounded, table_in_shared_dir
 from gleaner.sources import loaders
 
 
+#: Ingests after which the index is written anew, so that its plan stays short.
+COMPACT = 8
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -24,35 +28,70 @@ class Engine:
     provider: Callable[[], embed.EmbeddingProvider] = embed.HashingEmbedder
     provider_name: str = "hashing"
     dimensions: int = 256
+    templates: answer.Templates = field(default_factory=answer.Templates)
+    #: Vectors by text, kept from one ingest to the next (see ``embed.CACHE``); None: every text is embedded.
+    cache: DataFrame | None = None
+    #: Whether the chunks of an ingested source take the place of all older chunks of that source.
+    replace_source: bool = False
     index: DataFrame | None = None
     postings: sparse.Postings | None = None
+    ingests: int = 0
 
     # --- indexing ---
 
-    def index_documents(self, documents: DataFrame) -> DataFrame:
-        """Chunks and embeds documents(doc_id, text, source, metadata) and puts them into the index by chunk id."""
-        chunks = chunk_documents(documents, self.chunking).dropDuplicates(["chunk_id"])
-        rows = embed.embed(chunks, self.provider)
-        self.index = rows if self.index is None else store.upsert(self.index, rows, "chunk_id")
+    def index_documents(self, documents: DataFrame) -> dict:
+        """Chunks and embeds documents(doc_id, text, source, metadata), puts them into the index by chunk id, and counts:
+        documents, chunks made, chunks embedded (each distinct text once, with a cache only new ones), chunks that were
+        there twice. The new chunks are written once; later queries read them."""
+        embed.preflight(self.provider())
+        documents = table_in_shared_dir(documents, "documents")
+        made = table_in_shared_dir(chunk_documents(documents, self.chunking), "chunks")
+        chunks = made.dropDuplicates(["chunk_id"])
+        if self.cache is None:
+            rows = table_in_shared_dir(embed.embed(chunks, self.provider), "ingest")
+            embedded = rows.count()
+        else:
+            rows, new = embed.embed_through(chunks, self.cache, self.provider, self.provider_name, self.dimensions)
+            rows, embedded = table_in_shared_dir(rows, "ingest"), new.count()
+            self.cache = self.cache.unionByName(new)
+        n = rows.count()
+        self._put(rows)
+        return {"documents": documents.count(), "chunks": n, "embedded": embedded, "skipped": made.count() - n}
+
+    def _put(self, rows: DataFrame) -> None:
+        self.ingests += 1
         self.postings = None
-        return self.index
+        if self.index is None:
+            self.index = rows
+            return
+        old = store.replace_documents(self.index, rows, "source").select(self.index.columns) if self.replace_source else store.upsert(self.index, rows, "chunk_id")
+        self.index = table_in_shared_dir(old, "index") if self.ingests % COMPACT == 0 else old
 
-    def index_path(self, path: str, recursive: bool = True) -> DataFrame:
+    def index_path(self, path: str, recursive: bool = True) -> dict:
         return self.index_documents(loaders.load(self.spark, path, recursive))
 
     def build_postings(self, path: str) -> None:
-        """Stores the inverted index; until the chunks change again, searches read only the buckets of their terms."""
-        self.postings = sparse.Postings.build(sparse.tokenized(self._index()), path, sparse.BM25(self.retrieval.k1, self.retrieval.b))
+        """Stores the inverted index; until the chunks change again, searches read only the terms they need."""
+        self.postings = self._postings(self._index(), path)
+
+    def _postings(self, rows: DataFrame, path: str) -> sparse.Postings:
+        return sparse.Postings.build(sparse.tokenized(rows), path, sparse.BM25(self.retrieval.k1, self.retrieval.b))
 
     def delete_documents(self, doc_ids: DataFrame) -> DataFrame:
         self.index, self.postings = store.delete(self._index(), doc_ids, "doc_id"), None
         return self.index
 
     def save(self, path: str) -> dict:
-        return store.save(self._index(), path, "vec", self.dimensions, self.provider_name)
+        """Writes a snapshot with its postings, and goes on with what was written."""
+        out = store.save(self._index(), path, "vec", self.dimensions, self.provider_name, beside=self._postings)
+        self.load(path)
+        return out
 
     def load(self, path: str) -> DataFrame:
+        """The newest snapshot, checked, and its postings."""
         self.index = store.load(self.spark, path, self.dimensions, self.provider_name)
+        beside = store.beside_of(self.spark, path)
+        self.postings = sparse.Postings(self.spark, beside, sparse.BM25(self.retrieval.k1, self.retrieval.b)) if beside else None
         return self.index
 
     def _index(self) -> DataFrame:
@@ -65,6 +104,29 @@ class Engine:
         r = rows.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents")).first()
         return {"chunks": r["chunks"], "documents": r["documents"], "dimensions": self.dimensions, "embedder": self.provider_name}
 
+    def filter_keys(self) -> set[str]:
+        """The metadata keys that the index knows."""
+        rows = self._index()
+        if "metadata" not in rows.columns:
+            return set()
+        return {r[0] for r in collect_bounded(rows.select(F.explode(F.map_keys("metadata"))).distinct(), 100_000, "metadata keys")}
+
+    def check_filters(self, filters: dict | None) -> None:
+        unknown = sorted(set(filters or ()) - self.filter_keys()) if filters else []
+        if unknown:
+            raise ValueError(f"unknown filter keys: {', '.join(unknown)}")
+
+    def ready(self) -> dict:
+        """What a health check tells: whether there is an index, whether it can be read, and whether the provider works."""
+        out = {}
+        for name, test in (("index", lambda: self._index().limit(1).count()), ("embedder", lambda: embed.preflight(self.provider()))):
+            try:
+                test()
+                out[name] = "ok"
+            except Exception as e:  # whatever it is, it is what is wrong
+                out[name] = str(e).splitlines()[0] if str(e) else type(e).__name__
+        return {"status": "ok" if set(out.values()) == {"ok"} else "failing", **out}
+
     # --- questions ---
 
     def questions(self, texts: list[str]) -> DataFrame:
@@ -76,9 +138,9 @@ class Engine:
                 raise ValueError(f"a question is longer than {self.retrieval.max_query_chars} characters")
         return self.spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "qid long, query string")
 
-    def retrieve(self, questions: DataFrame, chunks: DataFrame | None = None, filters: dict | None = None) -> DataFrame:
+    def retrieve(self, questions: DataFrame, chunks: DataFrame | None = None, filters: dict | None = None, top_k: int | None = None) -> DataFrame:
         """(qid, id, position, score, text, source, retrieved_by): the chosen chunks of every question, in order."""
-        s = self.retrieval
+        s = self.retrieval if top_k is None else replace(self.retrieval, top_k=top_k)
         chunks = self._index() if chunks is None else chunks
         if filters:
             allowed = chunks.where(loaders.matches("metadata", filters))
@@ -104,14 +166,14 @@ class Engine:
         best = best.selectExpr("qid", "id", "cast(row_number() over (partition by qid order by position) as bigint) as position", "score", "retrieved_by")
         return best.join(texts, "id").select("qid", "id", "position", "score", "text", "source", "retrieved_by")
 
-    def answer(self, questions: DataFrame, filters: dict | None = None) -> DataFrame:
+    def answer(self, questions: DataFrame, filters: dict | None = None, top_k: int | None = None) -> DataFrame:
         """(qid, query, answer, confident, citations) with extractive answers."""
-        hits = table_in_shared_dir(self.retrieve(questions, filters=filters), "hits")
+        hits = table_in_shared_dir(self.retrieve(questions, filters=filters, top_k=top_k), "hits")
         cited = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("position").alias("idx"), F.col("id").alias("chunk_id"), "source", F.round("score", 4).alias("score"), "retrieved_by", F.substring("text", 1, 120).alias("text")))).alias("citations"))
         return questions.select("qid", "query").join(answer.extractive_answers(questions, hits), "qid").join(cited, "qid", "left")
 
     def prompts(self, questions: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        return answer.prompts(questions, self.retrieve(questions), self.retrieval.budget_chars, history)
+        return answer.prompts(questions, self.retrieve(questions), self.retrieval.budget_chars, history, self.templates)
 
     def evaluate(self, cases: DataFrame, k: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Per-query rows and their means for cases(qid, query, relevant)."""

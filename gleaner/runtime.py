@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,26 +15,54 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a folder of our own is created and recorded in the session.
+    Only where the setting is absent and all tasks run in this process (local tests), a folder of our own is created,
+    recorded in the session, and removed at the end. On a cluster an absent setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gleaner-shared-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="gleaner-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session is gone; its folder is removed with it
+        pass
+
+
 def table_in_shared_dir(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet into the shared folder and returns a scan of it.
 
-    It cuts lineage like a checkpoint, survives the loss of executors, and keeps columnar pruning for its readers.
+    It cuts lineage like a checkpoint, survives the loss of executors, and keeps columnar pruning for its readers. The
+    session's ``drop_tables`` removes what its queries have written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleaner-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(spark, []).append(path)
     return spark.read.parquet(path)
 
 
+_written: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Removes the tables that queries of this session have written so far; results that weren't read yet can't be after it."""
+    paths = _written.pop(spark, [])
+    for p in paths:
+        _drop(spark, p)
+    return len(paths)
+
+
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
     """Collects ``df`` after proving that it has at most ``limit`` rows; raises otherwise."""
     rows = df.limit(limit + 1).collect()

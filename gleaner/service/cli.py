@@ -1,4 +1,4 @@
-"""Command line: ``python -m gleaner.service.cli ingest|ask|eval|stats|serve --index DIR ...``."""
+"""Command line: ``python -m gleaner.service.cli ingest|ask|eval|stats|serve|doctor --index DIR ...``."""
 
 from __future__ import annotations
 
@@ -10,14 +10,18 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.pipeline import Engine
+from gleaner.runtime import table_in_shared_dir
 from gleaner.settings import RetrievalSettings
 from gleaner.sources import loaders
 
 
+MISSES = 10
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gleaner")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in (("ingest", ["path"]), ("ask", ["question"]), ("eval", ["cases"]), ("stats", []), ("serve", [])):
+    for name, args in (("ingest", ["path"]), ("ask", ["question"]), ("eval", ["cases"]), ("stats", []), ("serve", []), ("doctor", [])):
         c = sub.add_parser(name)
         for a in args:
             c.add_argument(a)
@@ -35,6 +39,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def report(name: str, mean: dict, misses: list[str]) -> str:
+    """The means of an evaluation and the first queries that found nothing relevant."""
+    lines = [f"=== {name} ({mean['cases']} queries) ===", *(f"  {label:<13} {mean[key]:.3f}" for label, key in (("hit_rate", "hit_rate"), ("recall@k", "recall"), ("precision@k", "precision"), ("MRR", "mrr"), ("nDCG@k", "ndcg")))]
+    missed = round(mean["cases"] * (1 - mean["hit_rate"]))
+    return "\n".join([*lines, *([f"  misses ({missed}):", *(f"    - {q}" for q in misses[:MISSES])] if misses else [])])
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("gleaner").getOrCreate()
@@ -46,23 +57,31 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                     engine.load(a.index)
                 except FileNotFoundError:
                     pass
-            engine.index_path(a.path, not a.no_recursive)
-            from gleaner.runtime import table_in_shared_dir
-
-            engine.index = table_in_shared_dir(engine.index, "ingest")  # the old snapshot is read before it is replaced
-            out = engine.save(a.index)
+            out = engine.index_path(a.path, not a.no_recursive) | engine.save(a.index)
+        elif a.command == "doctor":
+            try:
+                engine.load(a.index)
+            except FileNotFoundError:
+                pass
+            out = engine.ready() | {"shared_dir": spark.conf.get("spark.checkpoint.dir", "none"), "executors": spark.sparkContext.defaultParallelism, "spark": spark.version}
+            print("\n".join(f"  {k:<12} {v}" for k, v in out.items()) if not a.json else json.dumps(out))
+            return 0 if out["status"] == "ok" else 1
         else:
             engine.load(a.index)
             if a.command == "serve":
                 from gleaner.service.http import serve
 
-                serve(engine, a.host, a.port, a.ingest_root, a.key)
+                serve(engine, a.host, a.port, a.ingest_root, a.key, a.index)
                 return 0
             if a.command == "ask":
                 out = engine.answer(engine.questions([a.question])).first().asDict(recursive=True)
             elif a.command == "eval":
-                cases = loaders.load_cases(spark, a.cases).withColumn("qid", F.monotonically_increasing_id())
-                out = engine.evaluate(cases)[1].first().asDict()
+                cases = table_in_shared_dir(loaders.load_cases(spark, a.cases).withColumn("qid", F.monotonically_increasing_id()), "cases")
+                rows, mean = engine.evaluate(cases)
+                if not a.json:
+                    print(report(a.cases, mean.first().asDict(), [r["query"] for r in rows.where("not hit").join(cases, "qid").orderBy("qid").select("query").limit(MISSES).collect()]))
+                    return 0
+                out = mean.first().asDict()
             else:
                 out = engine.stats()
     except (FileNotFoundError, ValueError) as e:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hmac
 import json
 import os
+import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 from gleaner.pipeline import Engine
 from gleaner.service.trace import Trace, Tracer
@@ -18,9 +21,10 @@ MAX_CLIENTS = 50_000
 class Api:
     """Requests to (status, body); apart from the server, so it can be called by itself."""
 
-    def __init__(self, engine: Engine, ingest_root: str | None = None, key: str | None = None, tracer: Tracer | None = None):
-        self.engine, self.root, self.key, self.tracer = engine, ingest_root, key, tracer or Tracer()
+    def __init__(self, engine: Engine, ingest_root: str | None = None, key: str | None = None, tracer: Tracer | None = None, index: str | None = None):
+        self.engine, self.root, self.key, self.tracer, self.index = engine, ingest_root, key, tracer or Tracer(), index
         self.buckets: dict[str, tuple[float, float]] = {}
+        self.writing = threading.Lock()
 
     def admitted(self, client: str, now: float | None = None) -> bool:
         now = time.monotonic() if now is None else now
@@ -39,10 +43,18 @@ class Api:
         real, root = os.path.realpath(os.path.join(self.root, path)), os.path.realpath(self.root)
         return real if real == root or real.startswith(root + os.sep) else None
 
-    def handle(self, method: str, path: str, body: bytes = b"", token: str | None = None, client: str = "") -> tuple[int, object]:
+    def handle(self, method: str, target: str, body: bytes = b"", token: str | None = None, client: str = "") -> tuple[int, object]:
+        """``token`` is what the header bears; only without one the query's ``api_key`` counts."""
+        url = urlsplit(target)
+        path = url.path
         if path == "/health":
-            return (200, {"status": "ok"}) if method == "GET" else (405, {"error": "GET only"})
-        if self.key and token != self.key:
+            if method != "GET":
+                return 405, {"error": "GET only"}
+            state = self.engine.ready()
+            return (200 if state["status"] == "ok" else 503), state
+        if token is None:
+            token = parse_qs(url.query).get("api_key", [None])[0]
+        if self.key and not hmac.compare_digest((token or "").encode(), self.key.encode()):
             return 401, {"error": "wrong or missing key"}
         if path in ("/stats", "/metrics"):
             if method != "GET":
@@ -70,32 +82,47 @@ class Api:
         question, filters = request.get("question"), request.get("filters")
         if not isinstance(question, str):
             raise ValueError("a question is needed")
+        if filters is not None and not isinstance(filters, dict):
+            raise ValueError("filters must be an object")
+        top_k = request.get("top_k")
+        if top_k is not None and (not isinstance(top_k, int) or isinstance(top_k, bool) or top_k <= 0):
+            raise ValueError("top_k must be a positive number")
         trace = Trace(question)
         try:
+            with trace.span("filters"):
+                self.engine.check_filters(filters)
             with trace.span("answer"):
-                row = self.engine.answer(self.engine.questions([question]), filters).first().asDict(recursive=True)
+                row = self.engine.answer(self.engine.questions([question]), filters, top_k).first().asDict(recursive=True)
             trace.meta |= {"hits": len(row["citations"] or []), "confident": row["confident"]}
         finally:
             self.tracer.emit(trace)
-        return {"query": question, "answer": row["answer"], "confident": row["confident"], "citations": row["citations"] or [], "trace_id": trace.trace_id, "total_ms": trace.to_dict()["total_ms"]}
+        told = trace.to_dict()
+        return {
+            "query": question, "answer": row["answer"], "confident": row["confident"], "citations": row["citations"] or [], "trace_id": trace.trace_id, "total_ms": told["total_ms"],
+            "stage_ms": {s["name"]: s["ms"] for s in told["spans"]}, "hit_count": len(row["citations"] or []), "meta": {"filters": filters or {}, "top_k": top_k or self.engine.retrieval.top_k},
+        }
 
     def _ingest(self, request: dict) -> dict:
         path = self.allowed_path(str(request.get("path", "")))
         if path is None:
             raise ValueError("the path lies outside of the folder that may be read")
-        self.engine.index_path(path, bool(request.get("recursive", True)))
-        return self.engine.stats()
+        with self.writing:
+            counts = self.engine.index_path(path, bool(request.get("recursive", True)))
+            if self.index:
+                self.engine.save(self.index)
+        return counts | self.engine.stats()
 
 
-def serve(engine: Engine, host: str, port: int, ingest_root: str | None, key: str | None) -> None:
-    api = Api(engine, ingest_root, key)
+def serve(engine: Engine, host: str, port: int, ingest_root: str | None, key: str | None, index: str | None = None) -> None:
+    """Serves until it is stopped; what is ingested is saved to ``index``."""
+    api = Api(engine, ingest_root, key, index=index)
 
     class Handler(BaseHTTPRequestHandler):
         def _do(self) -> None:
             n = int(self.headers.get("Content-Length") or 0)
             body = self.rfile.read(min(n, MAX_BODY + 1))
             token = (self.headers.get("Authorization") or "").removeprefix("Bearer ").strip() or None
-            status, out = api.handle(self.command, self.path.split("?")[0], body, token, self.client_address[0])
+            status, out = api.handle(self.command, self.path, body, token, self.client_address[0])
             raw = out.encode() if isinstance(out, str) else json.dumps(out, ensure_ascii=False, default=str).encode()
             self.send_response(status)
             self.send_header("Content-Type", "text/plain" if isinstance(out, str) else "application/json")

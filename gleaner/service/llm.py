@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import time
+import sqlite3
+import threading
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol, TypeVar
 
 from gleaner.functions.ids import stable_hash
+from gleaner.functions.retries import with_retries
+from gleaner.operators.answer import NO_ANSWER
 
 V = TypeVar("V")
-RETRY_STATUS = (408, 409, 429)
 
 
 class LLMClient(Protocol):
@@ -25,23 +27,6 @@ def base_url(url: str) -> str:
     return url if url.endswith("/v1") else f"{url}/v1"
 
 
-def is_transient(error: Exception) -> bool:
-    """Timeouts, conflicts, rate limits, server errors, and errors without a status are worth another try."""
-    status = getattr(error, "status_code", None)
-    return status is None or status in RETRY_STATUS or status >= 500
-
-
-def with_retries(call: Callable[[], V], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> V:
-    for n in range(attempts):
-        try:
-            return call()
-        except Exception as e:
-            if n + 1 == attempts or not is_transient(e):
-                raise
-            sleep(min(2**n / 2, 8))
-    raise ValueError("attempts must be positive")
-
-
 class LRU:
     """A bounded mapping that forgets what was used least recently, with its hit rate."""
 
@@ -77,26 +62,93 @@ class LRU:
         return self.hits / n if n else 0.0
 
 
+class RemoteClient:
+    """A chat endpoint behind two calls: ``ask(messages, **options)`` gives an answer, ``deltas`` (if there is one) its parts.
+
+    Both come from whichever client library the caller has. A stream that fails before its first part is asked again as a
+    whole; what was handed out already stays.
+    """
+
+    def __init__(self, name: str, ask: Callable[..., str], deltas: Callable[..., Iterator[str]] | None = None, attempts: int = 3):
+        self.name, self.ask, self.deltas, self.attempts = name, ask, deltas, attempts
+
+    def complete(self, messages: list[dict], **options: object) -> str:
+        return with_retries(lambda: self.ask(messages, **options), self.attempts)
+
+    def stream(self, messages: list[dict], **options: object) -> Iterator[str]:
+        begun = False
+        if self.deltas is not None:
+            try:
+                for part in self.deltas(messages, **options):
+                    if part:
+                        begun = True
+                        yield part
+            except Exception:
+                if begun:
+                    raise
+        if not begun:
+            yield self.complete(messages, **options)
+
+
+class ExtractiveClient:
+    """No model: says that there is no answer; ``operators.answer`` makes extractive answers as columns."""
+
+    name = "extractive"
+
+    def complete(self, messages: list[dict], **options: object) -> str:
+        return NO_ANSWER
+
+
+def catalogue(models: Callable[[], Iterable[str]], limit: int = 40) -> list[str]:
+    """The models that an endpoint names, sorted."""
+    return sorted(set(models()))[:limit]
+
+
+def masked(key: str) -> str:
+    """A secret as it may be shown: both ends of a long one, nothing of a short one."""
+    return f"{key[:7]}...{key[-4:]}" if len(key) > 12 else "***"
+
+
+def build_client(provider: str, make: Callable[[str], LLMClient] | None = None, key: str | None = None, cache: str | None = None, entries: int = 2000) -> LLMClient:
+    """The client that settings ask for: a remote one (``make`` gets the key) only with a key, else the extractive one; with
+    ``cache`` its answers are kept in that file."""
+    if provider not in ("remote", "extractive"):
+        raise ValueError(f"there is no provider {provider}")
+    client = make(key) if provider == "remote" and make is not None and key else ExtractiveClient()
+    return CachedClient(client, entries, cache) if cache is not None else client
+
+
 class CachedClient:
-    """Answers of another client, kept by model, temperature and messages; the entries with the fewest hits go first."""
+    """Answers of another client, kept by model, temperature and messages; the entries with the fewest hits go first, of equal
+    ones the oldest. They live in one SQLite file, so they outlast the process and are shared by threads and processes; without
+    a path, in memory."""
+
+    def __init__(self, inner: LLMClient, entries: int = 2000, path: str | None = None):
+        self.inner, self.entries, self.name, self.lock = inner, entries, inner.name, threading.Lock()
+        self.db = sqlite3.connect(path or ":memory:", check_same_thread=False, isolation_level=None, timeout=30)
+        self.db.execute("CREATE TABLE IF NOT EXISTS answers (seq INTEGER PRIMARY KEY AUTOINCREMENT, key TEXT UNIQUE NOT NULL, answer TEXT NOT NULL, hits INTEGER NOT NULL DEFAULT 0)")
 
-    def __init__(self, inner: LLMClient, entries: int = 2000):
-        self.inner, self.entries, self.name = inner, entries, inner.name
-        self.rows: dict[str, list] = {}  # key: answer, hits
+    def _one(self, sql: str, *values: object) -> tuple | None:
+        with self.lock:
+            return self.db.execute(sql, values).fetchone()
 
     def complete(self, messages: list[dict], **options: object) -> str:
         key = stable_hash(options.get("model", self.name), options.get("temperature", 0), messages)
-        if key in self.rows:
-            self.rows[key][1] += 1
-            return self.rows[key][0]
+        held = self._one("UPDATE answers SET hits = hits + 1 WHERE key = ? RETURNING answer", key)
+        if held:
+            return held[0]
         answer = with_retries(lambda: self.inner.complete(messages, **options))
-        self.rows[key] = [answer, 0]
-        while len(self.rows) > self.entries:
-            del self.rows[min(self.rows, key=lambda k: self.rows[k][1])]
+        self._one("INSERT INTO answers (key, answer) VALUES (?, ?) ON CONFLICT (key) DO UPDATE SET answer = excluded.answer", key, answer)
+        # what was just written has no hits yet: it stays, as the newest
+        self._one("DELETE FROM answers WHERE seq IN (SELECT seq FROM answers WHERE key <> ? ORDER BY hits, seq LIMIT max(0, (SELECT count(*) FROM answers) - ?))", key, self.entries)
         return answer
 
     def stats(self) -> dict:
-        return {"entries": len(self.rows), "hits": sum(r[1] for r in self.rows.values())}
+        n, hits = self._one("SELECT count(*), coalesce(sum(hits), 0) FROM answers")
+        return {"entries": n, "hits": hits}
+
+    def clear(self) -> None:
+        self._one("DELETE FROM answers")
 
     def stream(self, messages: list[dict], width: int = 24, **options: object) -> Iterator[str]:
         answer = self.complete(messages, **options)

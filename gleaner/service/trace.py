@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
 import uuid
 from collections.abc import Iterator
@@ -50,3 +51,28 @@ class Tracer:
     def metrics(self, stats: dict) -> str:
         rows = {"gleaner_queries_total": self.queries, "gleaner_query_ms_total": round(self.ms, 2), **{f"gleaner_{k}": v for k, v in stats.items() if isinstance(v, (int, float))}}
         return "".join(f"# TYPE {k} {'counter' if k.endswith('_total') else 'gauge'}\n{k} {v}\n" for k, v in rows.items())
+
+
+class JsonLines(logging.Formatter):
+    """Log records as lines of JSON, with whatever was given as ``extra``."""
+
+    _known = frozenset(vars(logging.makeLogRecord({})))
+
+    def format(self, record: logging.LogRecord) -> str:
+        row = {"time": self.formatTime(record, "%Y-%m-%dT%H:%M:%S"), "level": record.levelname, "logger": record.name, "message": record.getMessage()}
+        row |= {k: v for k, v in vars(record).items() if k not in self._known and k not in ("message", "asctime")}
+        if record.exc_info:
+            row["exception"] = self.formatException(record.exc_info)
+        return json.dumps(row, ensure_ascii=False, default=str)
+
+
+def log_as_json(name: str = "gleaner", level: int = logging.INFO, stream=None) -> logging.Logger:
+    """The library's logger, writing such lines; calling it again changes the level only."""
+    log = logging.getLogger(name)
+    if not any(isinstance(h.formatter, JsonLines) for h in log.handlers):
+        handler = logging.StreamHandler(stream)
+        handler.setFormatter(JsonLines())
+        log.addHandler(handler)
+        log.propagate = False
+    log.setLevel(level)
+    return log

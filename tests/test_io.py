@@ -35,12 +35,15 @@ def test_loaders(spark, folder):
     assert rows["/b.html"].text == "Page Rollback & release" and rows["/c.jsonl::0"].text == 'k: v\nn: {"x": [1]}'
     assert rows["/e.csv::row0"].text == "name: Alice\nrole: Dev, ops" and rows["/e.csv::row1"].text == "name: Bob" and rows["/sub/f.txt"].text == "café"
     assert loaders.load(spark, str(folder), recursive=False).where("source like '%f.txt'").count() == 0
-    assert loaders.load(spark, str(folder), limit=2).select("source").distinct().count() == 2
+    assert [r.source.rpartition("/")[2] for r in loaders.load(spark, str(folder), limit=4).collect()] == ["a.md", "b.html", "c.jsonl::0", "c.jsonl::3"]
+    assert json.loads(rows["/b.html"].metadata["title"]) == "Page" and rows["/e.csv::row1"].metadata == {"row": "1"}
     assert loaders.load(spark, str(folder / "g.bin")).first().text == "skip"
     with pytest.raises(FileNotFoundError):
         loaders.load(spark, str(folder / "none"))
     with pytest.raises(ValueError):
-        loaders.parse_file("x.json", b"{", strict=True)
+        loaders.records("{", ".json")
+    with pytest.raises(Exception, match="can't be read as .json"):
+        loaders.load(spark, str(folder), strict=True).collect()
 
 
 def test_cases_and_filters(spark, tmp_path):
@@ -64,8 +67,22 @@ def test_store(spark, tmp_path):
             store.load(spark, path, **wrong)
     with pytest.raises(FileNotFoundError):
         store.load(spark, str(tmp_path / "nothing"))
+    read = lambda: {r.chunk_id for r in store.load(spark, path, 2, "hashing").collect()}
     with pytest.raises(Exception):
-        store.save(rows, str(tmp_path / "bad"), "vec", 3, "hashing")
+        store.save(rows, path, "vec", 3, "hashing")  # a save that fails leaves the index as it was
+    assert read() == {"a", "b"}
+    store.save(store.load(spark, path), path, "vec", 2, "hashing")  # unchanged, to where it came from
+    assert read() == {"a", "b"}
+    store.save(store.load(spark, path).where("chunk_id = 'a'"), path, "vec", 2, "hashing")
+    assert read() == {"a"}
+    store.save(store.upsert(store.load(spark, path), rows.where("chunk_id = 'b'"), "chunk_id"), path, "vec", 2, "hashing")
+    assert read() == {"a", "b"}
+    newest = store.manifest_of(spark, path)["number"]
+    spark.createDataFrame([("x", "d1", [1.0, 0.0]), ("y", "d2", [0.0, 1.0])], rows.schema).write.mode("overwrite").parquet(f"{path}/snapshots/{newest}")
+    with pytest.raises(ValueError, match="digest"):
+        store.load(spark, path)
+    same = spark.createDataFrame([("a", "t"), ("b", "t"), ("c", None), ("d", "u")], "chunk_id string, text string")
+    assert {r.chunk_id for r in store.dedupe_on_text(same, "chunk_id").collect()} == {"a", "c", "d"}
     new = spark.createDataFrame([("b", "d3", [1.0, 1.0]), ("c", "d3", [1.0, 1.0])], rows.schema)
     up = store.upsert(rows, new, "chunk_id")
     assert {(r.chunk_id, r.doc_id) for r in up.collect()} == {("a", "d1"), ("b", "d3"), ("c", "d3")}
@@ -139,21 +156,30 @@ def test_ingest_is_incremental(spark, tmp_path):
     ingest.ingest_available(spark, source, schema, index, ck)
     ingest.ingest_available(spark, source, schema, index, ck)
     assert sorted(r.doc_id for r in ingest.indexed(spark, index).collect()) == [1, 3]
+    spark.createDataFrame([(1, "the first document was edited " * 5), (3, None)], schema).write.mode("append").parquet(source)
+    ingest.ingest_available(spark, source, schema, index, ck)
+    assert [(r.doc_id, r.text[:9]) for r in ingest.indexed(spark, index).collect()] == [(1, "the first")]
 
 
 def test_engine(spark, folder, tmp_path):
     e = Engine(spark)
     with pytest.raises(ValueError):
         e.stats()
-    e.index_path(str(folder))
+    e.cache = spark.createDataFrame([], embed.CACHE)
+    counts = e.index_path(str(folder))
     first = e.stats()
-    e.index_path(str(folder))
+    assert counts == {"documents": 9, "chunks": first["chunks"], "embedded": first["chunks"], "skipped": 0}
+    assert e.index_path(str(folder))["embedded"] == 0  # all texts are in the cache
     assert e.stats() == first  # the same files again change nothing
+    assert e.ready()["status"] == "ok" and Engine(spark).ready()["status"] == "failing"
+    with pytest.raises(ValueError, match="odd"):
+        e.check_filters({"ext": ".md", "odd": 1})
     q = e.questions(["When do refresh tokens rotate?", "rollback release", "zebra crossing"])
-    e.save(str(tmp_path / "i"))
     plain = [tuple(r) for r in e.retrieve(q).orderBy("qid", "position").collect()]
+    e.save(str(tmp_path / "i"))
+    e = Engine(spark)
     e.load(str(tmp_path / "i"))
-    e.build_postings(str(tmp_path / "p"))
+    assert e.postings is not None  # the postings came with the snapshot
     stored = [tuple(r) for r in e.retrieve(q).orderBy("qid", "position").collect()]
     assert stored == plain and plain[0][5].endswith("a.md")
     a = {r.qid: r for r in e.answer(q).collect()}
@@ -163,6 +189,10 @@ def test_engine(spark, folder, tmp_path):
     cases = q.limit(2).withColumn("relevant", F.when(F.col("qid") == 0, F.array(F.lit("A.md"))).otherwise(F.array(F.lit("b.html"))))
     rows, mean = e.evaluate(cases)
     assert mean.first().mrr == 1.0 and mean.first().hit_rate == 1.0
+    (folder / "a.md").write_text("# Tokens\nTokens never expire now.")
+    edited = Engine(spark, replace_source=True, index=e.index)
+    edited.index_path(str(folder / "a.md"))
+    assert [r.text for r in edited.index.where("source like '%a.md'").collect()] == ["# Tokens\nTokens never expire now."]
     gone = e.index.where("source like '%a.md'").select("doc_id")
     e.delete_documents(gone)
     assert e.stats()["documents"] == first["documents"] - 1
