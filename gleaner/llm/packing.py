@@ -29,7 +29,8 @@ TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
 #: The pattern that this public vocabulary was made with (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SALTS = 64
+#: Pieces of one size that are ranked in one task.
+RANKED = 50_000
 WINDOWS = 10_000
 #: Sizes over all windows: the sum of their capacities at most.
 SIZES = 5_000_000
@@ -165,7 +166,8 @@ def pack(documents: DataFrame, windows: DataFrame, tokenizers: str = TOKENIZERS)
             start = batch.column("piece").to_numpy().astype(np.int64) * batch.column("capacity").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column("window_id"), pa.array(out), batch.column("doc_id"), batch.column("piece"), pa.array(start), batch.column("n")], names=["window_id", "container_id", "doc_id", "piece", "token_start", "n_tokens"])
 
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max([1, *(-(-n // RANKED) for sizes in histogram.values() for n in sizes.values())])
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     numbered = salted.selectExpr("*", "row_number() over (partition by window_id, n, salt order by doc_id, piece) - 1 as nth")
     before = salted.groupBy("window_id", "n", "salt").agg(F.count("*").alias("m")).selectExpr("window_id", "n", "salt", "sum(m) over (partition by window_id, n order by salt) - m as before")
     ranked = numbered.join(before, ["window_id", "n", "salt"]).select("window_id", "capacity", "doc_id", "piece", "n", (F.col("nth") + F.col("before")).alias("rank"))
