@@ -30,6 +30,10 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.placed(_p2(spark, d), table(spark, d, "chunks"), table(spark, d, "documents"))
 
 
+def p2_reassembled(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.reassembled(_p2(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.neighbours(table(spark, d, "vectors")))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_reassembled": p2_reassembled,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
@@ -102,6 +107,10 @@ ORACLE: dict[str, str] = {
         SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_key FROM chunks WHERE floor(length(text) / 4) > 512
         UNION ALL
         SELECT 'document', CAST(doc_id AS VARCHAR) FROM documents WHERE floor(length(text) / 4) > 512""",
+    "p2_reassembled": """
+        SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_key, md5(text) AS digest, length(text) AS n_chars, true AS within FROM chunks WHERE floor(length(text) / 4) > 512
+        UNION ALL
+        SELECT 'document', CAST(doc_id AS VARCHAR), md5(text), length(text), true FROM documents WHERE floor(length(text) / 4) > 512""",
     "p7_found": f"""
         WITH t AS (SELECT case_id, {_WORDS.format("query")} AS w FROM eval_cases UNION ALL SELECT case_id, {_WORDS.format("passage")} FROM eval_cases),
         c AS (SELECT DISTINCT case_id, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT case_id, w, unnest(range(1, len(w) - 8)) AS i FROM t WHERE len(w) >= 10)),

@@ -8,7 +8,7 @@ def check(text, limit, overlap):
     spans = list(zip(p[::2], p[1::2]))
     assert spans[0][0] == 0 and spans[-1][1] == len(text)
     assert all(0 < b - a <= limit for a, b in spans)
-    assert all(c == b - overlap and d > b for (a, b), (c, d) in zip(spans, spans[1:]))
+    assert all(b - overlap - overlap // 4 <= c <= b - overlap and c > a and d > b for (a, b), (c, d) in zip(spans, spans[1:]))
     return spans
 
 
@@ -29,6 +29,9 @@ def test_natural_boundaries():
     assert text.index("# Title") in cuts  # before a heading
     marked = "e\u0301" * 100
     assert all(not marked[b:].startswith("\u0301") for _, b in check(marked, 51, 10))  # a mark never leaves its letter
+    assert all(not marked[a:].startswith("\u0301") for a, _ in check(marked, 51, 10))
+    words = "some words of up to nine letters " * 40
+    assert all(a == 0 or words[a - 1] == " " for a, _ in check(words, 200, 48))  # pieces begin with whole words
 
 
 def test_table(spark, cluttered):
@@ -42,6 +45,8 @@ def test_table(spark, cluttered):
         assert r.text == source[r.item_key][r.char_start : r.char_end] and r.token_estimate == max(1, len(r.text) // 4) <= 512
     for key in source:
         mine = sorted(r.piece_index for r in rows if r.item_key == key)
+        shared = [(a.char_end - b.char_start) // 4 for a, b in zip(*(sorted((r for r in rows if r.item_key == key), key=lambda r: r.piece_index)[i:] for i in (0, 1)))]
+        assert all(64 <= n < 81 for n in shared)
         assert mine == list(range(len(mine)))
 
 
@@ -72,3 +77,13 @@ def test_offsets_in_the_document(spark, cluttered):
 def test_empty(spark):
     e = spark.createDataFrame([], "item_kind string, item_key string, text string")
     assert splitting.split_oversized(e).count() == 0
+
+
+def test_put_together_again(spark):
+    import hashlib
+
+    rng = random.Random(9)
+    texts = {str(i): "".join(rng.choice(["a", "bcd ", ". ", "\n\n", "é", "e\u0301", "\U0001f600", "# x\n"]) for _ in range(2500)) for i in range(12)}
+    items = spark.createDataFrame([("document", k, t) for k, t in texts.items()], "item_kind string, item_key string, text string")
+    got = {r.item_key: (r.digest, r.within) for r in splitting.reassembled(splitting.split_oversized(items)).collect()}
+    assert got == {k: (hashlib.md5(t.encode()).hexdigest(), True) for k, t in texts.items() if len(t) // 4 > 512}
