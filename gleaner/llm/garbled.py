@@ -1,8 +1,9 @@
 """Text decoded with the wrong character encoding (problem 5), found and undone by a hidden Markov model.
 
 The hidden states are one clean state and one for each pair (encoding written, encoding read). Characters of the ASCII
-range look alike in all states, so the model walks over the runs of other characters between them, and every character
-of a run gets the run's label. Under a pair's state a run is what its inverse transform would be as clean text: the
+range look alike in all states, so the model walks over the runs of other characters between them. A run in which clean and
+garbled characters meet is walked in parts: characters that some pair can have made from UTF-8, replacement characters, and
+the rest, each with its own label. All characters of a run or part have one label. Under a pair's state a run is what its inverse transform would be as clean text: the
 emission is the clean character model's probability of the inverse, or nothing where no inverse exists. The clean model
 is a character bigram model whose contexts at the ends of a run are classes of the neighbouring ASCII characters.
 It is trained here, over all documents, leaving out those with signs that no clean text has (control characters of the
@@ -43,6 +44,8 @@ STATES = [CLEAN, LOST, *(">".join(p) for p in PAIRS)]
 ENTER, LEAVE = log(1e-5), log(1e-2)
 #: Distinct character bigrams of the alphabets in use: what training brings to the driver.
 BIGRAMS = 2_000_000
+#: How much more the parts of a run must gain than the whole.
+CUT = 5.0
 _CACHE = 200_000
 _NEVER = -1e9
 
@@ -89,7 +92,16 @@ class Inverse:
         return None if text == run or _CONTROL.search(text) else text
 
 
+def _units(inverse: Inverse) -> re.Pattern:
+    """What whole characters of UTF-8 look like after the last reading of a pair: one character for each byte."""
+    back = inverse.steps[0]
+    of = lambda lo, hi: "[" + "".join(re.escape(chr(c)) for c, b in back.items() if lo <= b <= hi) + "]"
+    more = of(0x80, 0xBF)
+    return re.compile(f"(?:{of(0xC2, 0xDF)}{more}|{of(0xE0, 0xEF)}{more}{{2}}|{of(0xF0, 0xF4)}{more}{{3}})+|\ufffd+")
+
+
 _inverses: list[Inverse] = []
+_unit_patterns: list[re.Pattern] = []
 
 
 def inverses() -> list[Inverse]:
@@ -98,12 +110,49 @@ def inverses() -> list[Inverse]:
     return _inverses
 
 
+def unit_patterns() -> list[re.Pattern]:
+    if not _unit_patterns:
+        _unit_patterns.extend(_units(inverses()[i]) for i in _utf8_only)
+    return _unit_patterns
+
+
+def _telling(part: str) -> bool:
+    """Not what clean words of another alphabet hold as well: with a sign in it, or led by a Latin letter, or lost."""
+    return not part.isalpha() or part[0] < "\u0100"
+
+
+def telling_parts(run: str) -> list[tuple[int, list[tuple[int, int]]]]:
+    """By the number of the pair: the parts of a run that it can have made from UTF-8."""
+    found = []
+    for i, p in zip(_utf8_only, unit_patterns()):
+        spans = [m.span() for m in p.finditer(run) if _telling(m.group())]
+        if spans:
+            found.append((i, spans))
+    return found
+
+
+def cuts(run: str) -> list[list[int]]:
+    """Ways to cut a run, one for each pair that can have made a part of it from UTF-8: the bounds of the parts."""
+    found = []
+    for _, spans in telling_parts(run):
+        bounds = sorted({0, len(run), *(x for span in spans for x in span)})
+        if len(bounds) > 2 and bounds not in found:
+            found.append(bounds)
+    return found
+
+
 _utf8_only = [i for i, p in enumerate(PAIRS) if p[0] == "utf-8"]
 
 
+def _usual(i: int, part: str) -> bool:
+    return (text := inverses()[i](part)) is not None and _USUAL.fullmatch(text) is not None
+
+
 def suspicious(run: str) -> bool:
-    """Signs that no clean text has."""
-    return bool(_CONTROL.search(run)) or any((text := inverses()[i](run)) is not None and _USUAL.fullmatch(text) for i in _utf8_only)
+    """Signs that no clean text has: of garbling in the whole run, or in a part of it."""
+    if _CONTROL.search(run) or any(_usual(i, run) for i in _utf8_only):
+        return True
+    return len(run) > 2 and any(_usual(i, run[a:b]) for i, spans in telling_parts(run) for a, b in spans)
 
 
 def count_bigrams(documents: DataFrame) -> DataFrame:
@@ -187,6 +236,8 @@ class Labeller:
     def __init__(self, clean: CleanModel):
         self.clean = clean
         self.known: dict[tuple[str, str, str], tuple[list[float], float, list[int]] | None] = {}
+        self.parts_of: dict[tuple[str, str, str], list[int]] = {}
+        self.cuts_of: dict[str, list[list[int]]] = {}
 
     def gain(self, before: str, run: str, after: str) -> tuple[list[float], float, list[int]] | None:
         """How much likelier each state is than the clean one, the most of it, and the states that gain; None if no other state can emit the run."""
@@ -208,12 +259,35 @@ class Labeller:
             self.known[key] = (out, max(out) - out[0], better) if max(out[1:]) > _NEVER else None
         return self.known[key]
 
+    def parts(self, before: str, run: str, after: str) -> list[int]:
+        """The bounds of the parts that a run is walked in: the cut whose parts gain most, if it gains more than the whole."""
+        key = (before, run, after)
+        if key not in self.parts_of:
+            if len(self.parts_of) >= _CACHE:
+                self.parts_of.clear()
+                self.cuts_of.clear()
+            whole = self.gain(*key)
+            best, bounds = (max(0.0, whole[1]) if whole else 0.0) + CUT, [0, len(run)]
+            if run not in self.cuts_of:
+                self.cuts_of[run] = cuts(run)
+            for b in self.cuts_of[run]:
+                gained = [self.gain(*self._part(key, i, j)) for i, j in zip(b, b[1:])]
+                total = sum(g[1] for g in gained if g)
+                if total > best:
+                    best, bounds = total, b
+            self.parts_of[key] = bounds
+        return self.parts_of[key]
+
+    @staticmethod
+    def _part(key: tuple[str, str, str], i: int, j: int) -> tuple[str, str, str]:
+        before, run, after = key
+        return before if i == 0 else _symbol(run[i - 1]), run[i:j], after if j == len(run) else _symbol(run[j])
+
     def path(self, text: str) -> list[tuple[int, int, int]]:
-        """(begin, end, state) of every run that isn't clean."""
+        """(begin, end, state) of every run or part that isn't clean."""
         runs, gains, most, active = [], [], 0.0, {0}
-        for m in _RUN.finditer(text):
-            a, b = m.span()
-            g = self.gain(_CLASSES[text[a - 1 : a]], m.group(), _CLASSES[text[b : b + 1]])
+        for a, b, key in self._walked(text):
+            g = self.gain(*key)
             runs.append((a, b))
             gains.append(g)
             if g is not None:
@@ -245,6 +319,17 @@ class Labeller:
             at = back[t - 1][at] if t else 0
         return out[::-1]
 
+    def _walked(self, text: str) -> Iterator[tuple[int, int, tuple[str, str, str]]]:
+        for m in _RUN.finditer(text):
+            a, b = m.span()
+            key = (_CLASSES[text[a - 1 : a]], m.group(), _CLASSES[text[b : b + 1]])
+            if b - a < 3 and "\ufffd" not in key[1]:  # too short for a clean and a garbled character
+                yield a, b, key
+                continue
+            bounds = self.parts(*key)
+            for i, j in zip(bounds, bounds[1:]):
+                yield a + i, a + j, self._part(key, i, j)
+
     def restore(self, text: str, path: list[tuple[int, int, int]]) -> str:
         parts, last = [], 0
         for a, b, state in path:
