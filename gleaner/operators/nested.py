@@ -2,11 +2,12 @@
 
 A bottom-up tree automaton gives every object a state from its own symbol and the states of its children: typed arrays
 of structs are run through it as column expressions, free-form JSON as a walk over the parsed value. The state says which
-variant an object is (a hit, a leg with its name, a leg's body keyed by the name, a failed call, ...). In JSON the state
-and the place decide (``ROUTES``) whether a value is a node and of which kind; in typed arrays the schema gives the kind
-and the state labels the row. There is a table for each kind, with the state as a column, and none for each variant. All
-kinds share the keys ``trace_id``, ``node_kind``, ``node_path``, ``parent_path`` and ``state``. Paths are positions from 0,
-joined by dots; a leg's position is its name.
+variant an object is (a hit, a leg with its name, a leg's body keyed by the name, a failed call, ...), and together with the
+place it decides (``ROUTES``) whether a value is a node, and of which kind: a value in a state that its place has no route
+for is no node. ``SUBTYPES`` gives every variant its typed table: ``Flat.subtype`` has the columns of that variant alone,
+``Flat.table`` all variants of a kind (their supertype), ``Flat.root`` the traces that all of them belong to. All tables share
+the keys ``trace_id``, ``node_kind``, ``node_path``, ``parent_path`` and ``state``. Paths are positions from 0, joined by dots;
+a leg's position is its name.
 
 A null element is no node but keeps its position. Null and empty levels have no nodes below them. JSON that holds JSON
 as a string counts as that JSON; JSON that doesn't parse, and rows without a trace id, have no nodes. A record that was
@@ -74,12 +75,28 @@ _ARRAYS = ("empty", "hits", "legs", "scalars", "mixed")
 _OBJECTS = ("leg", "hit", "body", "legs_by_name", "object")
 
 #: The kind of node that a value is, by its place and its state; without a kind it is no node. ``list``: an element of
-#: ``legs``; ``lone``: the value of ``legs`` itself; ``named``: an entry of that value; ``hits``: a hit of a leg.
+#: ``legs``; ``lone``: the value of ``legs`` itself; ``named``: an entry of that value; ``hits``: a hit of a leg; the others:
+#: an element of the array of that name.
 ROUTES: dict[str, dict[str, str]] = {
     "list": {"leg": "leg"},
     "lone": {"leg": "leg"},
     "named": dict.fromkeys(_OBJECTS, "leg"),
     "hits": dict.fromkeys((*_OBJECTS, *_ARRAYS, "bool", "number", "string"), "leg_hit"),
+    "spans": dict.fromkeys(("span", "span_with_calls", "span_with_failure"), "span"),
+    "calls": dict.fromkeys(("call", "call_batched", "call_failed", "call_failed_batched"), "call"),
+    "batches": dict.fromkeys(("batch", "batch_cached"), "batch"),
+    "citations": dict.fromkeys(("citation", "citation_one", "citation_both"), "citation"),
+}
+
+_CALL, _CITED = ["provider", "attempt", "ms"], ["idx", "chunk_id", "source", "text", "score"]
+#: What the table of each variant has besides the keys.
+SUBTYPES: dict[str, dict[str, list[str]]] = {
+    "span": {"span": ["name", "ms", "meta"], "span_with_calls": ["name", "ms", "meta", "n_calls"], "span_with_failure": ["name", "ms", "meta", "n_calls"]},
+    "call": {"call": _CALL, "call_batched": _CALL, "call_failed": [*_CALL, "error_code", "error_message"], "call_failed_batched": [*_CALL, "error_code", "error_message"]},
+    "batch": {"batch": ["batch_size"], "batch_cached": ["batch_size", "cached"]},
+    "leg": dict.fromkeys(_OBJECTS, ["ms", "n_hits"]),
+    "leg_hit": {**dict.fromkeys((*_OBJECTS, *_ARRAYS, "bool", "number", "string"), []), "hit": ["chunk_id", "rank", "score", "tags"]},
+    "citation": {"citation": _CITED, "citation_one": [*_CITED, "retrieved_by"], "citation_both": [*_CITED, "retrieved_by"]},
 }
 
 
@@ -170,34 +187,65 @@ def span_state(s: Column) -> Column:
     return F.when(failed, "span_with_failure").when(_some(s["calls"]), "span_with_calls").otherwise(F.lit("span"))
 
 
-def _keys(kind: str, path: Column, parent: Column, state: Column) -> list[Column]:
-    return [F.col("trace_id"), F.lit(kind).alias("node_kind"), path.alias("node_path"), parent.cast("string").alias("parent_path"), state.alias("state"), F.col("arrived_at")]
+def citation_state(c: Column) -> Column:
+    legs = F.coalesce(F.size(c["retrieved_by"]), F.lit(0))
+    return F.when(legs > 1, "citation_both").when(legs == 1, "citation_one").otherwise(F.lit("citation"))
+
+
+#: The automaton over typed arrays: the state of an element, by its place.
+STATES = {"spans": span_state, "calls": call_state, "batches": batch_state, "citations": citation_state}
+
+
+def _placed(rows: DataFrame, place: str, array: str, at: list[str]) -> DataFrame:
+    """The elements of an array as (trace_id, arrived_at, *at, x, state, node_kind); at: the positions down to theirs."""
+    each = rows.select("trace_id", "arrived_at", *at[:-1], F.posexplode(array).alias(at[-1], "x")).where("x is not null").withColumn("state", STATES[place](F.col("x")))
+    kind = F.create_map(*(F.lit(y) for pair in ROUTES[place].items() for y in pair)) if ROUTES[place] else None
+    return each.withColumn("node_kind", F.lit(None).cast("string") if kind is None else F.try_element_at(kind, F.col("state")))
+
+
+def _nodes(placed: DataFrame, at: list[str], **values: Column) -> DataFrame:
+    """Those of the elements that have a route, with the keys and their values."""
+    parent = F.concat_ws(".", *at[:-1]) if len(at) > 1 else F.lit(None).cast("string")
+    keys = [F.col("trace_id"), F.col("node_kind"), F.concat_ws(".", *at).alias("node_path"), parent.alias("parent_path"), F.col("state"), F.col("arrived_at")]
+    return placed.where("node_kind is not null").select(*keys, *(v.alias(k) for k, v in values.items()))
 
 
 class Flat:
     """The flat tables of traces(trace_id, arrived_at, spans, meta) and responses(trace_id, created_at, citations)."""
 
     def __init__(self, traces: DataFrame, responses: DataFrame):
+        self.traces = traces
         t = traces.select("trace_id", F.col("arrived_at").cast("timestamp_ntz").alias("arrived_at"), "spans").where("trace_id is not null")
-        spans = t.select("trace_id", "arrived_at", F.posexplode("spans").alias("i", "x")).where("x is not null")
-        calls = spans.select("trace_id", "arrived_at", "i", F.posexplode("x.calls").alias("j", "x")).where("x is not null")
-        batches = calls.select("trace_id", "arrived_at", "i", "j", F.posexplode("x.batches").alias("k", "x")).where("x is not null")
-        x, i, j = F.col("x"), F.col("i").cast("string"), F.concat_ws(".", "i", "j")
+        x = F.col("x")
+        spans = _placed(t, "spans", "spans", ["i"])
+        calls = _placed(spans, "calls", "x.calls", ["i", "j"])
+        batches = _placed(calls, "batches", "x.batches", ["i", "j", "k"])
+        r = responses.select("trace_id", F.col("created_at").cast("timestamp_ntz").alias("arrived_at"), "citations").where("trace_id is not null")
+        cited = _placed(r, "citations", "citations", ["i"])
+        long = lambda c: F.col(c).cast("long")
+        meta = F.sort_array(F.transform(F.map_entries("x.meta"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))))
+        self.leg_nodes = _leg_nodes(traces)
         self.nodes = {
-            "span": spans.select(*_keys("span", i, F.lit(None), span_state(x)), "x.name", "x.ms", F.to_json("x.meta").alias("meta"), F.coalesce(F.size("x.calls"), F.lit(0)).cast("long").alias("n_calls")),
-            "call": calls.select(*_keys("call", j, i, call_state(x)), "x.provider", F.col("x.attempt").cast("long").alias("attempt"), "x.ms", F.col("x.error.code").cast("long").alias("error_code"), F.col("x.error.message").alias("error_message")),
-            "batch": batches.select(*_keys("batch", F.concat_ws(".", "i", "j", "k"), j, batch_state(x)), F.col("x.batch_size").cast("long").alias("batch_size"), F.col("x.cached").cast("long").alias("cached")),
-        }
-        leg_nodes = _leg_nodes(traces)
-        self.leg_nodes = leg_nodes
-        self.nodes["leg"] = leg_nodes.where("node_kind = 'leg'").select(*KEYS, "arrived_at", "ms", "n_hits")
-        self.nodes["leg_hit"] = leg_nodes.where("node_kind = 'leg_hit'").select(*KEYS, "arrived_at", "chunk_id", "rank", "score", "tags")
-        r = responses.select("trace_id", F.col("created_at").cast("timestamp_ntz").alias("arrived_at"), F.posexplode("citations").alias("i", "x")).where("trace_id is not null and x is not null")
-        cited = F.when(F.coalesce(F.size("x.retrieved_by"), F.lit(0)) > 1, "citation_both").when(F.size("x.retrieved_by") == 1, "citation_one").otherwise(F.lit("citation"))
-        self.nodes["citation"] = r.select(*_keys("citation", i, F.lit(None), cited), F.col("x.idx").cast("long").alias("idx"), "x.chunk_id", "x.source", "x.text", "x.score", "x.retrieved_by")
+            "span": _nodes(spans, ["i"], name=x["name"], ms=x["ms"], meta=meta, n_calls=F.coalesce(F.size("x.calls"), F.lit(0)).cast("long")),
+            "call": _nodes(calls, ["i", "j"], provider=x["provider"], attempt=long("x.attempt"), ms=x["ms"], error_code=long("x.error.code"), error_message=x["error"]["message"]),
+            "batch": _nodes(batches, ["i", "j", "k"], batch_size=long("x.batch_size"), cached=long("x.cached")),
+            "leg": self.leg_nodes.where("node_kind = 'leg'").select(*KEYS, "arrived_at", "ms", "n_hits"),
+            "leg_hit": self.leg_nodes.where("node_kind = 'leg_hit'").select(*KEYS, "arrived_at", "chunk_id", "rank", "score", "tags"),
+            "citation": _nodes(cited, ["i"], idx=long("x.idx"), chunk_id=x["chunk_id"], source=x["source"], text=x["text"], score=x["score"], retrieved_by=x["retrieved_by"]),
+        }
+
+    def root(self) -> DataFrame:
+        """One row for each trace, with the values of the emission that arrived last (of two at once the greater)."""
+        t = self.traces.where("trace_id is not null")
+        last = F.max(F.struct(*(F.col(c).cast("timestamp_ntz").alias(c) if c.endswith("_at") else F.col(c) for c in ("arrived_at", "started_at", "client_key", "query", "total_ms"))))
+        return t.groupBy("trace_id").agg(F.count("*").alias("emissions"), last.alias("v")).select("trace_id", "emissions", "v.*")
+
+    def subtype(self, kind: str, state: str) -> DataFrame:
+        """The table of one variant: the keys and the columns that this variant has."""
+        return self.table(kind).where(F.col("state") == state).select(*KEYS, *SUBTYPES[kind][state])
 
     def table(self, kind: str) -> DataFrame:
-        """The subtype's table: one row for each node, with the values that arrived last (of two at once the greater)."""
+        """The supertype's table, of all variants of a kind: one row for each node, with the values that arrived last (of two at once the greater)."""
         rows = self.nodes[kind]
         values = [c for c in rows.columns if c not in ("trace_id", "node_kind", "node_path")]
         values.sort(key=lambda c: c != "arrived_at")
@@ -205,7 +253,7 @@ class Flat:
         return last.select("trace_id", "node_kind", "node_path", *(F.col(f"v.{c}").alias(c) for c in values if c != "arrived_at"))
 
     def all_nodes(self) -> DataFrame:
-        """(trace_id, node_kind, node_path) of every node of every subtype, each once."""
+        """(trace_id, node_kind, node_path) of every node that a state was routed to, each once: the union of all subtypes."""
         rows = [self.nodes[k] for k in ("span", "call", "batch", "citation")] + [self.leg_nodes]
         every = rows[0].select("trace_id", "node_kind", "node_path")
         for r in rows[1:]:

@@ -83,21 +83,24 @@ def _meta(column: str) -> str:
 _SPANS = "sp AS (SELECT trace_id, arrived_at, i, spans[i + 1] AS x FROM (SELECT trace_id, arrived_at, spans, unnest(range(len(spans))) AS i FROM traces WHERE trace_id IS NOT NULL) WHERE spans[i + 1] IS NOT NULL)"
 _CALLS = f"{_SPANS}, ca AS (SELECT trace_id, arrived_at, i, j, x.calls[j + 1] AS x FROM (SELECT *, unnest(range(len(x.calls))) AS j FROM sp) WHERE x.calls[j + 1] IS NOT NULL)"
 _BATCHES = f"{_CALLS}, ba AS (SELECT trace_id, arrived_at, i, j, k, x.batches[k + 1] AS x FROM (SELECT *, unnest(range(len(x.batches))) AS k FROM ca) WHERE x.batches[k + 1] IS NOT NULL)"
-_LEGNODES = f"""mj AS (SELECT trace_id, m::JSON -> '$.legs' AS legs FROM (SELECT trace_id, {_meta('meta')} AS m FROM traces WHERE trace_id IS NOT NULL) WHERE m IS NOT NULL AND json_type(m::JSON) = 'OBJECT'),
+_LEGNODES = f"""mj AS (SELECT trace_id, arrived_at, m::JSON -> '$.legs' AS legs FROM (SELECT trace_id, arrived_at, {_meta('meta')} AS m FROM traces WHERE trace_id IS NOT NULL) WHERE m IS NOT NULL AND json_type(m::JSON) = 'OBJECT'),
     ln AS (
-        SELECT trace_id, leg ->> '$.leg' AS name, leg FROM (SELECT trace_id, unnest(CAST(legs AS JSON[])) AS leg FROM mj WHERE json_type(legs) = 'ARRAY')
-        UNION ALL SELECT trace_id, legs ->> '$.leg', legs FROM mj WHERE json_type(legs) = 'OBJECT' AND json_exists(legs, '$.leg')
-        UNION ALL SELECT trace_id, k, legs -> ('$."' || k || '"') FROM (SELECT trace_id, legs, unnest(json_keys(legs)) AS k FROM mj WHERE json_type(legs) = 'OBJECT' AND NOT json_exists(legs, '$.leg'))),
+        SELECT trace_id, arrived_at, leg ->> '$.leg' AS name, leg FROM (SELECT trace_id, arrived_at, unnest(CAST(legs AS JSON[])) AS leg FROM mj WHERE json_type(legs) = 'ARRAY')
+        UNION ALL SELECT trace_id, arrived_at, legs ->> '$.leg', legs FROM mj WHERE json_type(legs) = 'OBJECT' AND json_exists(legs, '$.leg')
+        UNION ALL SELECT trace_id, arrived_at, k, legs -> ('$."' || k || '"') FROM (SELECT trace_id, arrived_at, legs, unnest(json_keys(legs)) AS k FROM mj WHERE json_type(legs) = 'OBJECT' AND NOT json_exists(legs, '$.leg'))),
     lo AS (SELECT * FROM ln WHERE name IS NOT NULL AND json_type(leg) = 'OBJECT'),
     lh AS (
-        SELECT trace_id, name, unnest(range(CAST(json_array_length(leg -> '$.hits') AS BIGINT))) AS i, leg -> '$.hits' AS hits FROM lo WHERE json_type(leg -> '$.hits') = 'ARRAY'
-        UNION ALL SELECT trace_id, name, 0, json_array(leg -> '$.hits') FROM lo WHERE json_type(leg -> '$.hits') = 'OBJECT')"""
+        SELECT trace_id, arrived_at, name, unnest(range(CAST(json_array_length(leg -> '$.hits') AS BIGINT))) AS i, leg -> '$.hits' AS hits FROM lo WHERE json_type(leg -> '$.hits') = 'ARRAY'
+        UNION ALL SELECT trace_id, arrived_at, name, 0, json_array(leg -> '$.hits') FROM lo WHERE json_type(leg -> '$.hits') = 'OBJECT')"""
 _CIT = "ci AS (SELECT trace_id, created_at AS arrived_at, i, citations[i + 1] AS x FROM (SELECT trace_id, created_at, citations, unnest(range(len(citations))) AS i FROM responses WHERE trace_id IS NOT NULL) WHERE citations[i + 1] IS NOT NULL)"
 _FAILED = "len(list_filter(x.calls, lambda c: c.error IS NOT NULL)) > 0"
 _BATCHED = "len(list_filter(x.batches, lambda b: b IS NOT NULL)) > 0"
 _CALL_STATE = f"(CASE WHEN x.error IS NULL THEN 'call' ELSE 'call_failed' END || CASE WHEN {_BATCHED} THEN '_batched' ELSE '' END)"
 _SPAN_STATE = f"CASE WHEN {_FAILED} THEN 'span_with_failure' WHEN len(list_filter(x.calls, lambda c: c IS NOT NULL)) > 0 THEN 'span_with_calls' ELSE 'span' END"
 
+_NUMBER = "CASE WHEN json_type({0}) IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST({0} AS DOUBLE) END"
+_HIT = "(hits -> ('$[' || i || ']'))"
+
 ORACLE: dict[str, str] = {
     "tokenize_docs": f"""SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, coalesce(array_to_string(w[1:8], ' '), '') AS first, CAST(greatest(1, floor(length(text) / 4)) AS BIGINT) AS estimate
         FROM (SELECT doc_id, text, {_tok('text')} AS w FROM documents)""",
@@ -175,6 +178,20 @@ ORACLE: dict[str, str] = {
     "p3_found": f"""WITH {_BATCHES}, {_LEGNODES}, {_CIT}
         SELECT trace_id, 'span' AS node_kind, i || '' AS node_path FROM sp UNION SELECT trace_id, 'call', i || '.' || j FROM ca UNION SELECT trace_id, 'batch', i || '.' || j || '.' || k FROM ba
         UNION SELECT trace_id, 'leg', name FROM lo UNION SELECT trace_id, 'leg_hit', name || '.' || i FROM lh WHERE json_type(hits -> ('$[' || i || ']')) <> 'NULL' UNION SELECT trace_id, 'citation', i || '' FROM ci""",
+    "p3_traces": """SELECT trace_id, emissions, v.* FROM (SELECT trace_id, count(*) AS emissions,
+        arg_max(struct_pack(arrived_at := arrived_at, started_at := started_at, client_key := client_key, query := query, total_ms := total_ms), arrived_at) AS v FROM traces WHERE trace_id IS NOT NULL GROUP BY trace_id)""",
+    "p3_spans": f"""WITH {_SPANS} SELECT trace_id, 'span' AS node_kind, i || '' AS node_path, CAST(NULL AS VARCHAR) AS parent_path, v.* FROM (
+        SELECT trace_id, i, arg_max(struct_pack(state := {_SPAN_STATE}, name := x.name, ms := x.ms, meta := list_sort(list_transform(map_entries(x.meta), lambda e: e.key || '=' || coalesce(e.value, ''))), n_calls := coalesce(len(x.calls), 0)), arrived_at) AS v FROM sp GROUP BY ALL)""",
+    "p3_legs": f"""WITH {_LEGNODES} SELECT trace_id, 'leg' AS node_kind, name AS node_path, CAST(NULL AS VARCHAR) AS parent_path, v.* FROM (
+        SELECT trace_id, name, arg_max(struct_pack(state := CASE WHEN json_exists(leg, '$.leg') THEN 'leg' ELSE 'body' END, ms := {_NUMBER.format("(leg -> '$.ms')")},
+            n_hits := CAST(CASE json_type(leg -> '$.hits') WHEN 'ARRAY' THEN len(list_filter(CAST(leg -> '$.hits' AS JSON[]), lambda h: json_type(h) <> 'NULL')) WHEN 'OBJECT' THEN 1 ELSE 0 END AS BIGINT)), arrived_at) AS v FROM lo GROUP BY ALL)""",
+    "p3_leg_hits": f"""WITH {_LEGNODES} SELECT trace_id, 'leg_hit' AS node_kind, name || '.' || i AS node_path, name AS parent_path, v.* FROM (
+        SELECT trace_id, name, i, arg_max(struct_pack(state := 'hit', chunk_id := CASE WHEN json_type({_HIT} -> '$.chunk_id') = 'VARCHAR' THEN {_HIT} ->> '$.chunk_id' END,
+            rank := {_NUMBER.format("(" + _HIT + " -> '$.rank')")}, score := {_NUMBER.format("(" + _HIT + " -> '$.score')")},
+            tags := CASE WHEN json_type({_HIT} -> '$.tags') = 'ARRAY' THEN list_transform(list_filter(CAST({_HIT} -> '$.tags' AS JSON[]), lambda t: json_type(t) = 'VARCHAR'), lambda t: t ->> '$') END), arrived_at) AS v
+        FROM lh WHERE json_type({_HIT}) <> 'NULL' GROUP BY ALL)""",
+    "p3_failed_calls": f"""WITH {_CALLS} SELECT trace_id, 'call' AS node_kind, i || '.' || j AS node_path, i || '' AS parent_path, v.* FROM (
+        SELECT trace_id, i, j, arg_max(struct_pack(state := {_CALL_STATE}, provider := x.provider, attempt := CAST(x.attempt AS BIGINT), ms := x.ms, error_code := CAST(x.error.code AS BIGINT), error_message := x.error.message), arrived_at) AS v FROM ca GROUP BY ALL) WHERE v.state = 'call_failed'""",
     "p3_calls": f"""WITH {_CALLS} SELECT trace_id, 'call' AS node_kind, i || '.' || j AS node_path, i || '' AS parent_path, v.* FROM (
         SELECT trace_id, i, j, arg_max(struct_pack(state := {_CALL_STATE}, provider := x.provider, attempt := CAST(x.attempt AS BIGINT), ms := x.ms, error_code := CAST(x.error.code AS BIGINT), error_message := x.error.message), arrived_at) AS v FROM ca GROUP BY ALL)""",
     "p3_batches": f"""WITH {_BATCHES} SELECT trace_id, 'batch' AS node_kind, i || '.' || j || '.' || k AS node_path, i || '.' || j AS parent_path, v.* FROM (

@@ -377,6 +377,15 @@ def _p3_table(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: _flat(spark, d).table(kind)
 
 
+def p3_traces(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d).root()
+
+
+def p3_failed_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The table of one variant."""
+    return _flat(spark, d).subtype("call", "call_failed")
+
+
 def p3_variants(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark, d).variants()
 
@@ -388,6 +397,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rrf_fusion, hybrid_merge, rerank, score_floor, mmr, jaccard_pairs, hybrid_search, chunk_fixed, chunk_sentence, chunk_recursive, sentence_split, headings, front_matter,
         html_clean, csv_fold, json_fields, stable_ids, chunk_ids, feature_weights, hash_embed, cache_misses, cache_lookup, cache_eviction, extractive_answer, answer_sentences, answer_stream,
         prompt_context, history_window, eval_per_query, eval_summary, latency_percentiles, stage_durations, dedup_chunks, upsert_chunks, delete_documents, get_many, metadata_keys,
-        metadata_filter, unknown_filter_keys, save_load_roundtrip, token_bucket, stream_ingest, p3_found, p3_variants,
+        metadata_filter, unknown_filter_keys, save_load_roundtrip, token_bucket, stream_ingest, p3_found, p3_variants, p3_traces, p3_failed_calls,
     )
 } | {f"p3_{name}": _p3_table(kind) for name, kind in (("spans", "span"), ("calls", "call"), ("batches", "batch"), ("legs", "leg"), ("leg_hits", "leg_hit"), ("citations", "citation"))}

@@ -57,6 +57,23 @@ def test_tables(spark, cluttered):
     assert {r.node_path: r.state for r in flat.table("citation").collect()} == {"0": "citation_both", "2": "citation"}
 
 
+def test_typed_states_decide_too(spark, monkeypatch):
+    from datetime import datetime
+
+    call = ("p", 1, 2.0, (500, "no"), None)
+    traces = spark.createDataFrame([("t", datetime(2024, 1, 1), [("a", 1.0, {"k": "v"}, [call]), ("b", 1.0, None, None)], None)], TRACE)
+    responses = spark.createDataFrame([], RESPONSE)
+    found = lambda: {tuple(r)[1:] for r in nested.Flat(traces, responses).all_nodes().collect()}
+    assert found() == {("span", "0"), ("span", "1"), ("call", "0.0")}
+    failed = nested.Flat(traces, responses).subtype("call", "call_failed")
+    assert failed.columns == [*nested.KEYS, "provider", "attempt", "ms", "error_code", "error_message"] and failed.first().error_code == 500
+    assert nested.Flat(traces, responses).subtype("span", "span").columns == [*nested.KEYS, "name", "ms", "meta"]
+    monkeypatch.setitem(nested.STATES, "calls", lambda c: nested.F.lit("something else"))  # a rule of the automaton less
+    assert found() == {("span", "0"), ("span", "1")}
+    monkeypatch.delitem(nested.ROUTES["spans"], "span")
+    assert found() == {("span", "0")}
+
+
 def test_last_emission_wins(spark):
     from datetime import datetime
 
