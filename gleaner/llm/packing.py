@@ -179,3 +179,15 @@ def pack(documents: DataFrame, windows: DataFrame, tokenizers: str = TOKENIZERS)
 def fill(packed: DataFrame) -> DataFrame:
     """One row per window: containers, tokens in them and pieces."""
     return packed.where("container_id is not null").groupBy("window_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"))
+
+
+def kept(packed: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row per window: documents that were packed as a whole, documents whose pieces don't make up one text without gaps or
+    that were cut without need, and containers beyond the capacity."""
+    capacity = windows.select("window_id", (F.col("capacity_tokens") - F.coalesce("reserved_tokens", F.lit(0))).alias("capacity")).distinct()
+    some = packed.where("container_id is not null").join(F.broadcast(capacity), "window_id")  # WINDOWS rows at most
+    docs = some.groupBy("window_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.countDistinct("piece").alias("distinct"), F.max("capacity").alias("capacity"))
+    bad = (F.col("tokens") != F.col("end")) | (F.col("pieces") != F.col("distinct")) | (F.col("pieces") != F.ceil(F.col("tokens") / F.col("capacity")))
+    by_doc = docs.groupBy("window_id").agg(F.count("*").alias("documents"), F.count_if(bad).alias("parted"))
+    full = some.groupBy("window_id", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.max("capacity").alias("capacity"))
+    return by_doc.join(full.groupBy("window_id").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull")), "window_id")
