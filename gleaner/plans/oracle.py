@@ -98,6 +98,21 @@ _BATCHED = "len(list_filter(x.batches, lambda b: b IS NOT NULL)) > 0"
 _CALL_STATE = f"(CASE WHEN x.error IS NULL THEN 'call' ELSE 'call_failed' END || CASE WHEN {_BATCHED} THEN '_batched' ELSE '' END)"
 _SPAN_STATE = f"CASE WHEN {_FAILED} THEN 'span_with_failure' WHEN len(list_filter(x.calls, lambda c: c IS NOT NULL)) > 0 THEN 'span_with_calls' ELSE 'span' END"
 
+
+
+def _mmr(k: int) -> str:
+    """Choices one after another over the reranked hits: s holds what is left and its greatest similarity to those chosen."""
+    steps = [
+        f"""{_RERANK}, tt AS MATERIALIZED (SELECT rr.*, list_distinct(t.w) AS w FROM rr JOIN t USING (id)),
+        j AS MATERIALIZED (SELECT a.qid, a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / nullif(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 0) AS sim FROM tt a JOIN tt b ON a.qid = b.qid AND a.id <> b.id),
+        s1 AS (SELECT qid, id, position, score, 0.0::DOUBLE AS near FROM tt)"""
+    ]
+    for i in range(1, k + 1):
+        steps.append(f"c{i} AS MATERIALIZED (SELECT qid, id FROM s{i} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(0.7 * score - 0.3 * near, 9) DESC, position) = 1)")
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT s.qid, s.id, s.position, s.score, greatest(s.near, coalesce(j.sim, 0)) AS near FROM s{i} s JOIN c{i} c ON c.qid = s.qid AND c.id <> s.id LEFT JOIN j ON j.qid = s.qid AND j.a = s.id AND j.b = c.id)")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT qid, id, CAST({i} AS BIGINT) AS mmr_rank FROM c{i}" for i in range(1, k + 1))
+
+
 _NUMBER = "CASE WHEN json_type({0}) IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST({0} AS DOUBLE) END"
 _HIT = "(hits -> ('$[' || i || ']'))"
 
@@ -119,6 +134,8 @@ ORACLE: dict[str, str] = {
     "hybrid_merge": f"WITH {_LEGS} SELECT * FROM m",
     "rerank": f"WITH {_RERANK} SELECT qid, id, score, position FROM rr",
     "score_floor": f"WITH {_RERANK} SELECT qid, id, score, position FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM rr) WHERE best <= 0 OR score >= 0.35 * best",
+    "mmr": _mmr(10),
+    "stream_documents": f"SELECT doc_id, CAST(0 AS BIGINT) AS first_index FROM documents WHERE {_strip('text')} <> ''",
     "jaccard_pairs": f"""WITH {_BM25}, b AS ({_top('bs', 5)}), h AS (SELECT b.qid, b.id, list_distinct(t.w) AS w FROM b JOIN t USING (id)),
         p AS (SELECT x.qid, x.id AS id_a, y.id AS id_b, len(list_intersect(x.w, y.w)) AS n, len(x.w) AS na, len(y.w) AS nb FROM h x JOIN h y ON x.qid = y.qid AND x.id < y.id)
         SELECT qid, id_a, id_b, round(n / (na + nb - n), 9) AS jaccard FROM p""",

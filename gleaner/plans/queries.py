@@ -362,6 +362,11 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return ingest.indexed(spark, f"{base}/index").select("chunk_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
+def stream_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that the stream brought into the index, with the number of its first chunk."""
+    return stream_ingest(spark, d).groupBy("doc_id").agg(F.min("chunk_index").alias("first_index"))
+
+
 # --- nested records (problem 3) -----------------------------------------------------------------------------------
 
 
@@ -397,6 +402,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rrf_fusion, hybrid_merge, rerank, score_floor, mmr, jaccard_pairs, hybrid_search, chunk_fixed, chunk_sentence, chunk_recursive, sentence_split, headings, front_matter,
         html_clean, csv_fold, json_fields, stable_ids, chunk_ids, feature_weights, hash_embed, cache_misses, cache_lookup, cache_eviction, extractive_answer, answer_sentences, answer_stream,
         prompt_context, history_window, eval_per_query, eval_summary, latency_percentiles, stage_durations, dedup_chunks, upsert_chunks, delete_documents, get_many, metadata_keys,
-        metadata_filter, unknown_filter_keys, save_load_roundtrip, token_bucket, stream_ingest, p3_found, p3_variants, p3_traces, p3_failed_calls,
+        metadata_filter, unknown_filter_keys, save_load_roundtrip, token_bucket, stream_ingest, stream_documents, p3_found, p3_variants, p3_traces, p3_failed_calls,
     )
 } | {f"p3_{name}": _p3_table(kind) for name, kind in (("spans", "span"), ("calls", "call"), ("batches", "batch"), ("legs", "leg"), ("leg_hits", "leg_hit"), ("citations", "citation"))}
