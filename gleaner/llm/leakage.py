@@ -25,7 +25,8 @@ from gleaner.llm import textnum as tn
 
 K = 5
 MIN_WORDS = 10
-BROADCAST_CHARS = 32 << 20
+#: Characters of evaluation texts that every task indexes for itself (some tens of bytes each); more meet in a shuffled join.
+BROADCAST_CHARS = 8 << 20
 
 SPANS = "case_id long, field string, doc_id long, case_word int, doc_word int, n_words int"
 _SPANS = pa.schema([("case_id", pa.int64()), ("field", pa.string()), ("doc_id", pa.int64()), ("case_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())])
@@ -143,10 +144,13 @@ def _by_shuffle(docs: DataFrame, texts: DataFrame, min_words: int, k: int) -> Da
     both = hits.join(docs, "doc_id").join(texts.withColumnRenamed("text", "passage"), case_key)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, p = None, None
         for batch in batches:
             rows: list[tuple] = []
             for r in batch.to_pylist():
-                p, doc = Passages([(r["case_id"], r["field"], r["passage"])], k, min_words), tn.Words([r["text"]])
+                if held != (r["case_id"], r["field"]):  # rows of one passage mostly follow one another
+                    held, p = (r["case_id"], r["field"]), Passages([(r["case_id"], r["field"], r["passage"])], k, min_words)
+                doc = tn.Words([r["text"]])
                 g = doc.grams(k)
                 at = tn.winnow(g, min_words - k + 1)
                 first, n = np.searchsorted(p.grams, g[at], "left"), np.searchsorted(p.grams, g[at], "right") - np.searchsorted(p.grams, g[at], "left")
