@@ -26,3 +26,10 @@ def l2_normalize(v: Column | str) -> Column:
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
+
+
+def is_usable(v: str, dim: str) -> Column:
+    """Not null, of the given width, without null, NaN or infinite numbers, and not all zero."""
+    # array_contains is null, not false, where an element is null and none is NaN
+    whole = (F.size(v) == F.col(dim)) & ~F.array_contains(v, F.lit(float("nan")).cast("float"))
+    return F.coalesce(F.col(v).isNotNull() & whole & (F.array_max(v) < float("inf")) & (F.array_min(v) > float("-inf")) & ((F.array_max(v) != 0) | (F.array_min(v) != 0)), F.lit(False))

@@ -53,8 +53,34 @@ def summary(per_query_: DataFrame) -> DataFrame:
     )
 
 
+#: Value ranges that a group is cut into, so that a large group is ranked in many tasks.
+RANGES = 64
+
+
 def nearest_rank(df: DataFrame, group: str, value: str, percents: list[int]) -> DataFrame:
-    """Percentiles by rank: the value at position round(p / 100 * (n - 1)), halves to the even number, per group."""
-    ranked = df.where(F.col(value).isNotNull()).selectExpr(group, f"{value} as v", f"row_number() over (partition by {group} order by {value}) - 1 as at", f"count(*) over (partition by {group}) as n")
-    picks = [F.max(F.when(F.col("at") == F.expr(f"cast(bround({p} / 100 * (n - 1), 0) as bigint)"), F.col("v"))).alias(f"p{p}") for p in percents]
-    return ranked.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), *picks, F.max("v").alias("most"))
+    """Percentiles by rank: the value at position round(p / 100 * (n - 1)), halves to the even number, per group.
+
+    Equal values are counted before they are shuffled. The values of a group are cut into ranges at its approximate quantiles
+    and ranked range by range, after the counts of the ranges before; the result is exact whatever the quantiles are.
+    """
+    rows = df.select(F.col(group).alias("_of"), F.col(value).alias("v")).where("v is not null")
+    edges = F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 1000)
+    whole = rows.groupBy("_of").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("most"), edges.alias("edges"))
+    counts = rows.groupBy("_of", "v").agg(F.count("*").alias("c"))
+    placed = counts.alias("a").join(whole.select("_of", "edges").alias("b"), F.col("a._of").eqNullSafe(F.col("b._of"))).select("a._of", "v", "c", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("at"))
+    ranges = placed.groupBy("_of", "at").agg(F.sum("c").alias("m")).selectExpr("_of", "at", "sum(m) over (partition by _of order by at) - m as before")
+    joined = placed.alias("a").join(ranges.alias("b"), F.col("a._of").eqNullSafe(F.col("b._of")) & (F.col("a.at") == F.col("b.at"))).select("a._of", "a.at", "v", "c", "before")
+    ends = joined.selectExpr("_of", "v", "c", "before + sum(c) over (partition by _of, at order by v) as upto")
+    full = ends.alias("a").join(whole.select("_of", "n").alias("b"), F.col("a._of").eqNullSafe(F.col("b._of"))).select("a._of", "v", "c", "upto", "n")
+    within = lambda p: (F.expr(f"cast(bround({p} / 100 * (n - 1), 0) as bigint)") >= F.col("upto") - F.col("c")) & (F.expr(f"cast(bround({p} / 100 * (n - 1), 0) as bigint)") < F.col("upto"))
+    picked = full.groupBy("_of").agg(*(F.max(F.when(within(p), F.col("v"))).alias(f"p{p}") for p in percents))
+    out = whole.alias("a").join(picked.alias("b"), F.col("a._of").eqNullSafe(F.col("b._of")))
+    return out.select(F.col("a._of").alias(group), "n", "mean", *(f"p{p}" for p in percents), "most")
+
+
+def label_recall(hits: DataFrame, cases: DataFrame) -> DataFrame:
+    """(qid, label_recall): the share of a case's labels that some hit matched; hits(qid, source), cases(qid, relevant)."""
+    labels = cases.select("qid", F.explode(F.array_distinct("relevant")).alias("label")).where("label is not null and label <> ''")
+    found = labels.join(hits.select("qid", F.lower(F.coalesce("source", F.lit(""))).alias("source")).distinct(), "qid").where(F.contains("source", F.lower("label"))).select("qid", "label").distinct()
+    counts = labels.groupBy("qid").agg(F.count("*").alias("labels")).join(found.groupBy("qid").agg(F.count("*").alias("found")), "qid", "left")
+    return cases.select("qid").join(counts, "qid", "left").select("qid", F.round(F.coalesce(F.col("found") / F.col("labels"), F.lit(0.0)), DIGITS).alias("label_recall"))

@@ -21,9 +21,11 @@ K1, B = 1.5, 0.75
 DIGITS = 9
 
 
-def tokenized(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """(id, tokens, dl) of every chunk with at least one token; repeated rows of an id count once."""
-    rows = chunks.select(F.col(id_col).alias("id"), "text").dropDuplicates(["id"]).select("id", tx.tokens("text").alias("tokens"))
+def tokenized(chunks: DataFrame, id_col: str = "chunk_id", unique: bool = False) -> DataFrame:
+    """(id, tokens, dl) of every chunk with at least one token; repeated rows of an id count once. ``unique``: the caller
+    knows that there are none, so nothing is shuffled."""
+    rows = chunks.select(F.col(id_col).alias("id"), "text")
+    rows = (rows if unique else rows.dropDuplicates(["id"])).select("id", tx.tokens("text").alias("tokens"))
     return rows.withColumn("dl", F.size("tokens").cast("long")).where("dl > 0")
 
 

@@ -75,7 +75,7 @@ class Engine:
         self.postings = self._postings(self._index(), path)
 
     def _postings(self, rows: DataFrame, path: str) -> sparse.Postings:
-        return sparse.Postings.build(sparse.tokenized(rows), path, sparse.BM25(self.retrieval.k1, self.retrieval.b))
+        return sparse.Postings.build(sparse.tokenized(rows, unique=True), path, sparse.BM25(self.retrieval.k1, self.retrieval.b))
 
     def delete_documents(self, doc_ids: DataFrame) -> DataFrame:
         self.index, self.postings = store.delete(self._index(), doc_ids, "doc_id"), None
@@ -141,6 +141,7 @@ class Engine:
     def retrieve(self, questions: DataFrame, chunks: DataFrame | None = None, filters: dict | None = None, top_k: int | None = None) -> DataFrame:
         """(qid, id, position, score, text, source, retrieved_by): the chosen chunks of every question, in order."""
         s = self.retrieval if top_k is None else replace(self.retrieval, top_k=top_k)
+        unique = chunks is None
         chunks = self._index() if chunks is None else chunks
         if filters:
             allowed = chunks.where(loaders.matches("metadata", filters))
@@ -151,7 +152,7 @@ class Engine:
         k = max(s.candidates, s.top_k)
         vectors = with_vec.select(F.col("chunk_id").alias("id"), "vec")
         near = dense.search(embed.embed(q, self.provider, "query").select("qid", "vec"), vectors, k, self.dimensions)
-        tokenized = sparse.tokenized(chunks) if self.postings is None else None
+        tokenized = sparse.tokenized(chunks, unique=unique) if self.postings is None else None
         keep = allowed.select(F.col("chunk_id").alias("id")) if filters else None
         lexical = sparse.BM25(s.k1, s.b).search(q, tokenized, k, keep) if self.postings is None else self.postings.search(q, k, keep)
         merged = fusion.merge_legs(near, lexical, s.dense_weight, s.rrf_k)

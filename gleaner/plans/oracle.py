@@ -52,6 +52,12 @@ _RERANK = f"""{_LEGS},
     rr AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS BIGINT) AS position FROM r) WHERE position <= 10)"""
 
 
+_DENSE = f"""v AS (SELECT key AS id, any_value(vec)::DOUBLE[] AS v FROM vectors WHERE model = 'hashing' AND dim = 64 AND key IS NOT NULL AND vec IS NOT NULL AND len(vec) = 64
+        AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY key),
+    q AS (SELECT v.id AS qid, {_tok('c.source')} AS w FROM v JOIN c ON c.id = v.id WHERE v.id LIKE '%0')"""
+_NEAR = "ds AS (SELECT a.id AS qid, b.id AS id, round(list_dot_product(a.v, b.v), 9) AS score FROM v a, v b WHERE a.id LIKE '%0')"
+
+
 def _hits(k: int) -> str:
     return f"{_BM25}, h AS (SELECT b.qid, b.id, b.score, b.rank AS position, c.text, c.source FROM ({_top('bs', k)}) b JOIN c USING (id))"
 
@@ -132,6 +138,7 @@ ORACLE: dict[str, str] = {
     "cosine_next": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "rrf_fusion": f"WITH {_BM25}, {_OVER}, u AS (SELECT qid, id, rank FROM ({_top('bs', 10)}) UNION ALL SELECT qid, id, rank FROM ({_top('os', 10)})) SELECT qid, id, round(sum(1 / (60 + rank)), 12) AS score FROM u GROUP BY qid, id",
     "hybrid_merge": f"WITH {_LEGS} SELECT * FROM m",
+    "hybrid_dense": f"WITH {_LEGS.replace(_Q, _DENSE).replace(_OVER, _NEAR).replace(_top('os', 10), _top('ds', 10))} SELECT * FROM m",
     "rerank": f"WITH {_RERANK} SELECT qid, id, score, position FROM rr",
     "score_floor": f"WITH {_RERANK} SELECT qid, id, score, position FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM rr) WHERE best <= 0 OR score >= 0.35 * best",
     "mmr": _mmr(10),
@@ -181,6 +188,12 @@ ORACLE: dict[str, str] = {
         SELECT event_type, count(*) AS n, round(avg(v), 6) AS mean, max(v) FILTER (nr = round_even(0.5 * (n - 1), 0)) AS p50, max(v) FILTER (nr = round_even(0.95 * (n - 1), 0)) AS p95, max(v) FILTER (nr = round_even(0.99 * (n - 1), 0)) AS p99, max(v) AS most FROM r GROUP BY event_type""",
     "stage_durations": "SELECT s.name AS name, count(*) AS n, round(sum(s.ms), 3) AS ms FROM (SELECT unnest(spans) AS s FROM traces) WHERE s IS NOT NULL GROUP BY s.name",
     "dedup_chunks": "SELECT chunk_id, arg_max(doc_id, indexed_at) AS doc_id, arg_max(chunk_index, indexed_at) AS chunk_index, max(indexed_at) AS indexed_at FROM chunks GROUP BY chunk_id",
+    "label_recall": f"""WITH {_hits(8)}, l AS (SELECT DISTINCT case_id AS qid, unnest(relevant) AS label FROM eval_cases), m AS (SELECT qid, label FROM l WHERE label <> ''),
+        f AS (SELECT m.qid, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.qid = m.qid AND contains(lower(coalesce(source, '')), lower(label)))) AS found FROM m GROUP BY m.qid)
+        SELECT case_id AS qid, round(coalesce(found / n, 0), 9) AS label_recall FROM eval_cases LEFT JOIN f ON f.qid = case_id""",
+    "dedupe_text": f"WITH {_C} SELECT min(id) AS chunk_id FROM c WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT id FROM c WHERE text IS NULL",
+    "replace_source": f"""WITH {_C}, n AS (SELECT source, 'new ' || min(doc_id) AS chunk_id FROM documents WHERE lang = 'de' AND source IS NOT NULL GROUP BY source)
+        SELECT id AS chunk_id, source FROM c WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM n) UNION ALL SELECT chunk_id, source FROM n""",
     "upsert_chunks": f"WITH {_C} SELECT id AS chunk_id, CASE WHEN id >= '8' THEN 'again' ELSE source END AS source FROM c",
     "delete_documents": f"WITH {_C} SELECT id AS chunk_id, doc_id FROM c WHERE doc_id NOT IN (SELECT doc_key FROM documents WHERE lang = 'fr' AND doc_key IS NOT NULL)",
     "get_many": f"WITH {_C}, w AS (SELECT DISTINCT trace_id, i AS ord, citations[i + 1].chunk_id AS chunk_id FROM (SELECT trace_id, citations, unnest(range(len(citations))) AS i FROM responses) WHERE citations[i + 1] IS NOT NULL) SELECT w.trace_id, w.ord, w.chunk_id, c.source FROM w JOIN c ON c.id = w.chunk_id",

@@ -11,7 +11,7 @@ from gleaner.functions import text as tx
 from gleaner.functions import vectors as vx
 from gleaner.functions.ids import stable_id
 from gleaner.operators import answer, chunking, dense, embed, evaluate, fusion, nested, sparse, store
-from gleaner.runtime import shared_dir, table
+from gleaner.runtime import shared_dir, table, table_in_shared_dir
 from gleaner.sources import loaders
 from gleaner.streaming import ingest, ratelimit
 
@@ -44,11 +44,11 @@ def _bm25(spark: SparkSession, d: str, k: int = TOP) -> DataFrame:
     return sparse.BM25().search(_cases(spark, d), _tokenized(spark, d), k)
 
 
-def _overlap(spark: SparkSession, d: str, k: int = TOP) -> DataFrame:
+def _overlap(spark: SparkSession, d: str, k: int = TOP, tokenized: DataFrame | None = None) -> DataFrame:
     """A second ranked list: chunks by the Jaccard similarity of their terms with the query's."""
     q = _cases(spark, d).select("qid", F.array_distinct(tx.tokens("query")).alias("q"))
     terms = q.select("qid", F.size("q").alias("nq"), F.explode("q").alias("term"))
-    t = _tokenized(spark, d).select("id", F.array_distinct("tokens").alias("t")).select("id", F.size("t").alias("nt"), F.explode("t").alias("term"))
+    t = (_tokenized(spark, d) if tokenized is None else tokenized).select("id", F.array_distinct("tokens").alias("t")).select("id", F.size("t").alias("nt"), F.explode("t").alias("term"))
     common = terms.join(t, "term").groupBy("qid", "id", "nq", "nt").agg(F.count("*").alias("m"))
     return sparse.top_k(common.select("qid", "id", F.round(F.col("m") / (F.col("nq") + F.col("nt") - F.col("m")), sparse.DIGITS).alias("score")), k)
 
@@ -59,11 +59,18 @@ def _hits(spark: SparkSession, d: str, k: int = HITS) -> DataFrame:
     return _bm25(spark, d, k).join(c, "id").withColumnRenamed("rank", "position")
 
 
+def _legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both ranked lists and the tokens they come from, which are made once and written."""
+    t = table_in_shared_dir(_tokenized(spark, d), "tokens")
+    return _overlap(spark, d, tokenized=t), sparse.BM25().search(_cases(spark, d), t, TOP), t
+
+
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
     """Merged hits, scored again, the best TOP of each query."""
-    merged = fusion.merge_legs(_overlap(spark, d), _bm25(spark, d))
+    overlap, bm25, t = _legs(spark, d)
+    merged = fusion.merge_legs(overlap, bm25)
     q = _cases(spark, d).select("qid", tx.tokens("query").alias("q"))
-    rows = merged.join(q, "qid").join(_tokenized(spark, d).select("id", "tokens"), "id")
+    rows = merged.join(q, "qid").join(t.select("id", "tokens"), "id")
     return fusion.ranked(rows.withColumn("score", fusion.rerank_score("q", "tokens", "fused")), TOP)
 
 
@@ -131,11 +138,21 @@ def cosine_next(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.reciprocal_rank_fusion([_overlap(spark, d), _bm25(spark, d)])
+    return fusion.reciprocal_rank_fusion([*_legs(spark, d)[:2]])
 
 
 def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.merge_legs(_overlap(spark, d), _bm25(spark, d)).drop("dense_score", "sparse_score")
+    return fusion.merge_legs(*_legs(spark, d)[:2]).drop("dense_score", "sparse_score")
+
+
+def hybrid_dense(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks like those whose id ends in 0: by their vectors, and by the words of their source path; both lists merged."""
+    v = table(spark, d, "vectors").where("model = 'hashing' and dim = 64 and key is not null").where(vx.is_usable("vec", "dim"))
+    v = v.groupBy(F.col("key").alias("id")).agg(F.first("vec").alias("vec"))
+    asked = v.where("id like '%0'").select(F.col("id").alias("qid"), "vec")
+    words = _chunks(spark, d).join(asked.select(F.col("qid").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("qid"), F.col("source").alias("query"))
+    near, lexical = dense.search(asked, v, TOP, 64), sparse.BM25().search(words, _tokenized(spark, d), TOP)
+    return fusion.merge_legs(near, lexical).select("qid", "id", "dense_rank", "sparse_rank", "fused", "retrieved_by", "ord")
 
 
 def rerank(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +169,8 @@ def mmr(spark: SparkSession, d: str) -> DataFrame:
 
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of the hits of one query with each other, HITS * HITS pairs a query."""
-    h = _bm25(spark, d, HITS).join(_tokenized(spark, d).select("id", F.array_distinct("tokens").alias("t")), "id")
+    tokens = table_in_shared_dir(_tokenized(spark, d), "tokens")
+    h = sparse.BM25().search(_cases(spark, d), tokens, HITS).join(tokens.select("id", F.array_distinct("tokens").alias("t")), "id")
     a, b = h.select("qid", F.col("id").alias("id_a"), F.col("t").alias("ta")), h.select("qid", F.col("id").alias("id_b"), F.col("t").alias("tb"))
     return a.join(b, "qid").where("id_a < id_b").select("qid", "id_a", "id_b", F.round(tx.jaccard("ta", "tb"), 9).alias("jaccard"))
 
@@ -285,6 +303,10 @@ def eval_per_query(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.per_query(_flags(spark, d), _cases(spark, d), EVAL_K)
 
 
+def label_recall(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.label_recall(_hits(spark, d, EVAL_K), _cases(spark, d))
+
+
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.summary(eval_per_query(spark, d))
 
@@ -306,6 +328,17 @@ def dedup_chunks(spark: SparkSession, d: str) -> DataFrame:
     return store.dedupe(c, "chunk_id", ["indexed_at"])
 
 
+def dedupe_text(spark: SparkSession, d: str) -> DataFrame:
+    return store.dedupe_on_text(_chunks(spark, d), "chunk_id").select("chunk_id")
+
+
+def replace_source(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of German documents, written again as one chunk for each source, in the place of all older ones."""
+    c = _chunks(spark, d).where("source is not null").select("chunk_id", "source")
+    new = table(spark, d, "documents").where("lang = 'de' and source is not null").groupBy("source").agg(F.concat(F.lit("new "), F.min("doc_id")).alias("chunk_id"))
+    return store.replace_documents(c, new.select("chunk_id", "source"), "source")
+
+
 def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Half of the chunks written again under a new source."""
     c = _chunks(spark, d).select("chunk_id", "source")
@@ -399,9 +432,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize_docs, term_freq, doc_freq, corpus_stats, index_stats, bm25_topk, bm25_filtered, overlap_topk, dense_topk, dense_filtered, l2_normalize, cosine_next,
-        rrf_fusion, hybrid_merge, rerank, score_floor, mmr, jaccard_pairs, hybrid_search, chunk_fixed, chunk_sentence, chunk_recursive, sentence_split, headings, front_matter,
+        rrf_fusion, hybrid_merge, hybrid_dense, rerank, score_floor, mmr, jaccard_pairs, hybrid_search, chunk_fixed, chunk_sentence, chunk_recursive, sentence_split, headings, front_matter,
         html_clean, csv_fold, json_fields, stable_ids, chunk_ids, feature_weights, hash_embed, cache_misses, cache_lookup, cache_eviction, extractive_answer, answer_sentences, answer_stream,
-        prompt_context, history_window, eval_per_query, eval_summary, latency_percentiles, stage_durations, dedup_chunks, upsert_chunks, delete_documents, get_many, metadata_keys,
+        prompt_context, history_window, eval_per_query, label_recall, eval_summary, latency_percentiles, stage_durations, dedup_chunks, dedupe_text, replace_source, upsert_chunks, delete_documents, get_many, metadata_keys,
         metadata_filter, unknown_filter_keys, save_load_roundtrip, token_bucket, stream_ingest, stream_documents, p3_found, p3_variants, p3_traces, p3_failed_calls,
     )
 } | {f"p3_{name}": _p3_table(kind) for name, kind in (("spans", "span"), ("calls", "call"), ("batches", "batch"), ("legs", "leg"), ("leg_hits", "leg_hit"), ("citations", "citation"))}
