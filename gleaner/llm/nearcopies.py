@@ -190,6 +190,29 @@ def candidates(prints: DataFrame) -> DataFrame:
     return near if hot is None else near.unionByName(_hot_pairs(hot.select("key", "cid"), small)).distinct()
 
 
+def exact_candidates(texts: DataFrame, reps: DataFrame, id_col: str, text_col: str, threshold: float, words: int) -> DataFrame:
+    """(a, b): cids of all classes that can reach the threshold. Two such sets share one of their rarest shingles: of n the
+    first n - ceil(threshold * n) + 1. Nothing is missed; shingles that are rare nowhere make it costly."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_texts = batch.column("text").to_pylist()
+            for lo, hi in tn.passes(all_texts):
+                g, bounds = _shingles(all_texts[lo:hi], words)
+                yield pa.RecordBatch.from_arrays([batch.column("cid").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(g.view(np.int64)))], names=["cid", "shingles"])
+
+    rows = texts.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(reps.select("id", "cid"), "id").dropDuplicates(["cid"])
+    held = table_in_shared_dir(rows.select("cid", "text").mapInArrow(sets, "cid long, shingles array<long>"), "near-shingles")
+    each = held.select("cid", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    counted = each.join(each.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "g")
+    # shingles that stand in one class only come first and meet nobody
+    first = held.select("cid", F.size("shingles").alias("n")).join(counted.groupBy("cid").agg(F.count("*").alias("met")), "cid").select("cid", (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.col("met"))).alias("most"))
+    rare = counted.selectExpr("cid", "n", "g", "row_number() over (partition by cid order by m, g) as nth").join(first, "cid").where("nth <= most")
+    a, b = (rare.select("g", F.col("cid").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9)
+    return a.join(b, "g").where(near).select("a", "b").distinct()
+
+
 def verify(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, threshold: float, words: int) -> DataFrame:
     """(a, b, similarity) of the pairs whose shingle sets reach the threshold; a and b are ids.
 
@@ -219,9 +242,9 @@ def verify(pairs: DataFrame, texts: DataFrame, id_col: str, text_col: str, thres
 
 
 class NearCopies:
-    """Near copies within one table of texts."""
+    """Near copies within one table of texts; ``exact`` looks for candidates in another way, which misses none."""
 
-    def __init__(self, texts: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, words: int = SHINGLE_WORDS):
+    def __init__(self, texts: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, words: int = SHINGLE_WORDS, exact: bool = False):
         prints = table_in_shared_dir(fingerprints(texts, id_col, text_col, words), "near-prints")
         ids = prints.select("id", "digest").distinct()
         self.classes = copies.classes(ids, "id", "digest")
@@ -229,7 +252,8 @@ class NearCopies:
         reps = prints.groupBy("digest").agg(F.min("id").alias("id"), F.first("symbols").alias("symbols")).select("id", F.xxhash64("id").alias("cid"), "symbols")
         reps = table_in_shared_dir(reps, "near-classes")
         self.ids = ids.select("id")
-        self.pairs_of_classes = verify(table_in_shared_dir(candidates(reps), "near-candidates"), texts, id_col, text_col, threshold, words)
+        found = exact_candidates(texts, reps, id_col, text_col, threshold, words) if exact else candidates(reps)
+        self.pairs_of_classes = verify(table_in_shared_dir(found, "near-candidates"), texts, id_col, text_col, threshold, words)
 
     def pairs(self, a: str, b: str) -> DataFrame:
         """All similar pairs of ids, a < b, copies included, whatever the size of a class (its texts may differ)."""

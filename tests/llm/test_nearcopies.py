@@ -47,6 +47,12 @@ def test_all_pairs(spark, cluttered):
     assert len(want - got) <= 0.01 * len(want)
 
 
+def test_exact(spark):
+    rows = corpus(7)
+    n = nearcopies.NearCopies(spark.createDataFrame(rows, "chunk_id string, text string"), "chunk_id", "text", exact=True)
+    assert {tuple(r) for r in n.pairs("a", "b").collect()} == brute(rows)
+
+
 def test_hot_keys_lose_nothing(spark, monkeypatch):
     rows = [(f"{i:03}", " ".join(WORDS[:60] + [f"tail{i}"])) for i in range(40)] + corpus(2)
     monkeypatch.setattr(nearcopies, "BLOCK", 3)
