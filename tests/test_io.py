@@ -108,6 +108,29 @@ def test_embedder_and_cache(spark):
     assert {r.k for r in embed.evict(hits, 2, "hits", "seq").collect()} == {"y", "z"}
 
 
+def test_other_providers(tmp_path):
+    import numpy as np
+
+    states, mask = np.arange(12, dtype=float).reshape(2, 3, 2), np.array([[1, 1, 0], [0, 0, 0]])
+    pooled = embed.mean_pooled(states, mask)
+    assert np.allclose(pooled[0], np.array([1.0, 2.0]) / np.sqrt(5)) and not pooled[1].any()
+    with pytest.raises(FileNotFoundError, match="model.onnx"):
+        embed.OnnxEmbedder(str(tmp_path / "model.onnx"), str(tmp_path / "tokenizer.json"), 8)
+    calls = []
+
+    def call(texts):
+        calls.append(len(texts))
+        if len(calls) == 1:
+            raise RuntimeError("busy")
+        return [(i, [float(len(t)), 0.0]) for i, t in reversed(list(enumerate(texts)))]
+
+    remote = embed.RemoteEmbedder(call, "m", 2, batch=2)
+    assert remote.embed_batch(["a", "bbb", "cc"]).tolist() == [[1.0, 0.0], [3.0, 0.0], [2.0, 0.0]] and calls == [2, 2, 1]
+    embed.preflight(remote)
+    with pytest.raises(ValueError):
+        embed.preflight(embed.RemoteEmbedder(lambda t: [(5, [1.0, 2.0])], "m", 2))
+
+
 def bucket(times, rate, burst):
     tokens, last, out = burst, None, []
     for t in times:
