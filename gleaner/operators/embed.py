@@ -7,7 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
@@ -177,6 +177,27 @@ def evict(entries: DataFrame, most: int, hits: str, order: str) -> DataFrame:
 CACHE = "model string, dim int, key string, vec array<float>, cached_at timestamp_ntz"
 
 
+class CacheTable:
+    """The cache of vectors as a folder of appended Parquet files; of repeated keys the last row counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(CACHE).parquet(self.path) if there else self.spark.createDataFrame([], CACHE)
+
+    def put(self, new: DataFrame) -> None:
+        new.select("model", "dim", "key", "vec", "cached_at").write.mode("append").parquet(self.path)
+
+    def count(self) -> int:
+        return self.read().select("model", "dim", "key").distinct().count()
+
+    def clear(self) -> None:
+        self.spark.createDataFrame([], CACHE).write.mode("overwrite").parquet(self.path)
+
+
 def text_key(text: Column | str) -> Column:
     """The cache's key of a text."""
     return F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary"), 256)

@@ -29,14 +29,18 @@ class Engine:
     provider_name: str = "hashing"
     dimensions: int = 256
     templates: answer.Templates = field(default_factory=answer.Templates)
-    #: Vectors by text, kept from one ingest to the next (see ``embed.CACHE``); None: every text is embedded.
-    cache: DataFrame | None = None
+    #: Vectors by text, kept from one ingest to the next; None: every text is embedded.
+    cache: embed.CacheTable | None = None
     #: Whether the chunks of an ingested source take the place of all older chunks of that source.
     replace_source: bool = False
     index: DataFrame | None = None
     postings: sparse.Postings | None = None
     ingests: int = 0
 
+    def __post_init__(self) -> None:
+        if self.dimensions <= 0 or not self.provider_name:
+            raise ValueError("an embedder has a name and a positive width")
+
     # --- indexing ---
 
     def index_documents(self, documents: DataFrame) -> dict:
@@ -51,9 +55,9 @@ class Engine:
             rows = table_in_shared_dir(embed.embed(chunks, self.provider), "ingest")
             embedded = rows.count()
         else:
-            rows, new = embed.embed_through(chunks, self.cache, self.provider, self.provider_name, self.dimensions)
+            rows, new = embed.embed_through(chunks, self.cache.read(), self.provider, self.provider_name, self.dimensions)
             rows, embedded = table_in_shared_dir(rows, "ingest"), new.count()
-            self.cache = self.cache.unionByName(new)
+            self.cache.put(new)
         n = rows.count()
         self._put(rows)
         return {"documents": documents.count(), "chunks": n, "embedded": embedded, "skipped": made.count() - n}
@@ -170,7 +174,7 @@ class Engine:
     def answer(self, questions: DataFrame, filters: dict | None = None, top_k: int | None = None) -> DataFrame:
         """(qid, query, answer, confident, citations) with extractive answers."""
         hits = table_in_shared_dir(self.retrieve(questions, filters=filters, top_k=top_k), "hits")
-        cited = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("position").alias("idx"), F.col("id").alias("chunk_id"), "source", F.round("score", 4).alias("score"), "retrieved_by", F.substring("text", 1, 120).alias("text")))).alias("citations"))
+        cited = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("position").alias("idx"), F.col("id").alias("chunk_id"), "source", F.round("score", 4).alias("score"), "retrieved_by", F.translate(F.substring("text", 1, 120), "\n", " ").alias("text")))).alias("citations"))
         return questions.select("qid", "query").join(answer.extractive_answers(questions, hits), "qid").join(cited, "qid", "left")
 
     def prompts(self, questions: DataFrame, history: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ import json
 import os
 import threading
 import time
+from collections.abc import Callable
+from http import HTTPStatus
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
@@ -16,6 +18,7 @@ from gleaner.streaming.ratelimit import BURST, RATE, refill
 
 MAX_BODY = 1 << 20
 MAX_CLIENTS = 50_000
+PATHS = ("/health", "/stats", "/metrics", "/query", "/ingest")
 
 
 class Api:
@@ -44,6 +47,13 @@ class Api:
         return real if real == root or real.startswith(root + os.sep) else None
 
     def handle(self, method: str, target: str, body: bytes = b"", token: str | None = None, client: str = "") -> tuple[int, object]:
+        """The status and body of one request, counted."""
+        status, out = self._handle(method, target, body, token, client)
+        path = urlsplit(target).path
+        self.tracer.count(path if path in PATHS else "other", status)
+        return status, out
+
+    def _handle(self, method: str, target: str, body: bytes, token: str | None, client: str) -> tuple[int, object]:
         """``token`` is what the header bears; only without one the query's ``api_key`` counts."""
         url = urlsplit(target)
         path = url.path
@@ -113,6 +123,28 @@ class Api:
         return counts | self.engine.stats()
 
 
+def _sent(out: object) -> tuple[bytes, str]:
+    if isinstance(out, str):
+        return out.encode(), "text/plain"
+    return json.dumps(out, ensure_ascii=False, default=str).encode(), "application/json"
+
+
+def wsgi(api: Api) -> Callable:
+    """The same as an application for WSGI servers."""
+
+    def app(environ: dict, start_response: Callable) -> list[bytes]:
+        n = int(environ.get("CONTENT_LENGTH") or 0)
+        body = environ["wsgi.input"].read(min(n, MAX_BODY + 1)) if n else b""
+        token = environ.get("HTTP_AUTHORIZATION", "").removeprefix("Bearer ").strip() or None
+        target = environ.get("PATH_INFO", "/") + (f"?{q}" if (q := environ.get("QUERY_STRING")) else "")
+        status, out = api.handle(environ["REQUEST_METHOD"], target, body, token, environ.get("REMOTE_ADDR", ""))
+        raw, kind = _sent(out)
+        start_response(f"{status} {HTTPStatus(status).phrase}", [("Content-Type", kind), ("Content-Length", str(len(raw)))])
+        return [raw]
+
+    return app
+
+
 def serve(engine: Engine, host: str, port: int, ingest_root: str | None, key: str | None, index: str | None = None) -> None:
     """Serves until it is stopped; what is ingested is saved to ``index``."""
     api = Api(engine, ingest_root, key, index=index)
@@ -123,9 +155,9 @@ def serve(engine: Engine, host: str, port: int, ingest_root: str | None, key: st
             body = self.rfile.read(min(n, MAX_BODY + 1))
             token = (self.headers.get("Authorization") or "").removeprefix("Bearer ").strip() or None
             status, out = api.handle(self.command, self.path, body, token, self.client_address[0])
-            raw = out.encode() if isinstance(out, str) else json.dumps(out, ensure_ascii=False, default=str).encode()
+            raw, kind = _sent(out)
             self.send_response(status)
-            self.send_header("Content-Type", "text/plain" if isinstance(out, str) else "application/json")
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(raw)))
             self.end_headers()
             self.wfile.write(raw)

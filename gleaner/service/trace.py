@@ -6,6 +6,7 @@ import json
 import logging
 import time
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -36,6 +37,11 @@ class Tracer:
 
     def __init__(self, path: str | None = None):
         self.path, self.queries, self.ms = path, 0, 0.0
+        self.answered: Counter = Counter()
+
+    def count(self, path: str, status: int) -> None:
+        """One request that was answered."""
+        self.answered[path, status] += 1
 
     def emit(self, trace: Trace) -> None:
         row = trace.to_dict()
@@ -50,7 +56,8 @@ class Tracer:
 
     def metrics(self, stats: dict) -> str:
         rows = {"gleaner_queries_total": self.queries, "gleaner_query_ms_total": round(self.ms, 2), **{f"gleaner_{k}": v for k, v in stats.items() if isinstance(v, (int, float))}}
-        return "".join(f"# TYPE {k} {'counter' if k.endswith('_total') else 'gauge'}\n{k} {v}\n" for k, v in rows.items())
+        requests = "".join(f'gleaner_requests_total{{path="{p}",status="{n}"}} {k}\n' for (p, n), k in sorted(self.answered.items()))
+        return ("# TYPE gleaner_requests_total counter\n" + requests if requests else "") + "".join(f"# TYPE {k} {'counter' if k.endswith('_total') else 'gauge'}\n{k} {v}\n" for k, v in rows.items())
 
 
 class JsonLines(logging.Formatter):

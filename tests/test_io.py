@@ -108,6 +108,15 @@ def test_embedder_and_cache(spark):
     assert {r.k for r in embed.evict(hits, 2, "hits", "seq").collect()} == {"y", "z"}
 
 
+def test_made_up_documents(spark):
+    from gleaner.sources import synthetic
+
+    a, b = (synthetic.corpus(spark, 20, seed).orderBy("source").collect() for seed in (7, 8))
+    assert a == synthetic.corpus(spark, 20, 7).repartition(3).orderBy("source").collect() and a != b
+    sentences = [r.text.count(".") for r in a]
+    assert len({r.doc_id for r in a}) == 20 and min(sentences) >= 8 and max(sentences) <= 20 and any("\n\n" in r.text for r in a)
+
+
 def test_other_providers(tmp_path):
     import numpy as np
 
@@ -188,12 +197,16 @@ def test_engine(spark, folder, tmp_path):
     e = Engine(spark)
     with pytest.raises(ValueError):
         e.stats()
-    e.cache = spark.createDataFrame([], embed.CACHE)
+    e.cache = embed.CacheTable(spark, str(tmp_path / "cache"))
+    assert e.cache.count() == 0
     counts = e.index_path(str(folder))
     first = e.stats()
     assert counts == {"documents": 9, "chunks": first["chunks"], "embedded": first["chunks"], "skipped": 0}
     assert e.index_path(str(folder))["embedded"] == 0  # all texts are in the cache
     assert e.stats() == first  # the same files again change nothing
+    assert e.cache.count() == first["chunks"]
+    e.cache.clear()
+    assert e.cache.count() == 0
     assert e.ready()["status"] == "ok" and Engine(spark).ready()["status"] == "failing"
     with pytest.raises(ValueError, match="odd"):
         e.check_filters({"ext": ".md", "odd": 1})

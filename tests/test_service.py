@@ -132,3 +132,16 @@ def test_api(tmp_path):
     assert api.allowed_path("../x") is None and api.allowed_path("sub/x") == str(tmp_path / "sub/x")
     assert api.handle("POST", "/ingest", b'{"path": "../.."}', "k")[0] == 400
     assert [api.admitted("c", 0.0) for _ in range(21)] == [True] * 20 + [False] and api.admitted("c", 0.1)
+
+
+def test_wsgi_and_counts():
+    import io
+
+    from gleaner.service.http import wsgi
+
+    api, told = Api(Engine(), key="k"), []
+    app = wsgi(api)
+    call = lambda method, path, **more: json.loads(b"".join(app({"REQUEST_METHOD": method, "PATH_INFO": path, "wsgi.input": io.BytesIO(b""), **more}, lambda *a: told.append(a[0]))))
+    assert call("GET", "/stats", QUERY_STRING="api_key=k") == {"chunks": 2} and "error" in call("GET", "/stats", HTTP_AUTHORIZATION="Bearer x")
+    assert told == ["200 OK", "401 Unauthorized"]
+    assert 'gleaner_requests_total{path="/stats",status="401"} 1' in api.handle("GET", "/metrics", token="k")[1]
