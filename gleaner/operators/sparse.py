@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -115,9 +116,12 @@ PART, CELLS = 16_384, 4_000_000
 
 def _blocks(q: DataFrame) -> list[pa.Table]:
     """The terms of the queries in blocks of about QUERY_TERMS rows, whole queries each."""
+    few = q.limit(QUERY_TERMS + 1).toArrow().combine_chunks()
+    if few.num_rows <= QUERY_TERMS:
+        return [few] if few.num_rows else []
     n = -(-q.count() // QUERY_TERMS)
-    part = F.pmod(F.xxhash64("qid"), F.lit(max(n, 1)))
-    return [t for i in range(n) if (t := (q if n == 1 else q.where(part == i)).toArrow().combine_chunks()).num_rows]
+    part = F.pmod(F.xxhash64("qid"), F.lit(n))
+    return [t for i in range(n) if (t := q.where(part == i).toArrow().combine_chunks()).num_rows]
 
 
 def _terms(q: pa.Table) -> pa.Array:
@@ -215,6 +219,11 @@ class Postings:
         spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum(F.size("chunks")).alias("df")).sort("term").write.mode("overwrite").parquet(f"{path}/terms")
         return cls(spark, path, bm25 or BM25())
 
+    @cached_property
+    def corpus(self) -> tuple[int, float]:
+        """The number of chunks and their mean length; an index doesn't change once it is written."""
+        return tuple(self.spark.read.parquet(f"{self.path}/corpus").first())
+
     def search(self, queries: DataFrame, k: int, keep: DataFrame | None = None) -> DataFrame:
         """As ``BM25.search``; of the postings only the queries' terms are read, and each part is scored in one task."""
         rows = self.spark.read.parquet(f"{self.path}/postings")
@@ -225,7 +234,7 @@ class Postings:
         terms = _terms(q)
         wanted = self.spark.createDataFrame(pa.table({"term": terms, "code": pa.array(np.arange(len(terms), dtype=np.int32))}))
         one_of = F.col("term").isin(terms.to_pylist()) if len(terms) <= 1000 else F.lit(True)  # pushed down to the row groups
-        n, avgdl = self.spark.read.parquet(f"{self.path}/corpus").first()
+        n, avgdl = self.corpus
         known = self.spark.read.parquet(f"{self.path}/terms").where(one_of).join(F.broadcast(wanted), "term").toArrow()
         df = np.zeros(len(terms), dtype=np.int64)
         df[known.column("code").to_numpy()] = known.column("df").to_numpy()

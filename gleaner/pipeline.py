@@ -159,10 +159,12 @@ class Engine:
         tokenized = sparse.tokenized(chunks, unique=unique) if self.postings is None else None
         keep = allowed.select(F.col("chunk_id").alias("id")) if filters else None
         lexical = sparse.BM25(s.k1, s.b).search(q, tokenized, k, keep) if self.postings is None else self.postings.search(q, k, keep)
-        merged = fusion.merge_legs(near, lexical, s.dense_weight, s.rrf_k)
+        # narrow from here on: the tokens of each candidate once, as numbers, and texts again at the end
+        merged = table_in_shared_dir(fusion.merge_legs(near, lexical, s.dense_weight, s.rrf_k), "legs")
         texts = chunks.select(F.col("chunk_id").alias("id"), "text", "source")
-        # tokens of the candidates only, and their texts again at the end: nothing wide travels through the ranking
-        rows = merged.join(q.select("qid", tx.tokens("query").alias("q")), "qid").join(texts.select("id", "text"), "id").withColumn("tokens", tx.tokens("text")).drop("text")
+        coded = lambda c: F.transform(tx.tokens(c), lambda t: F.xxhash64(t))
+        found = texts.join(merged.select("id").distinct(), "id", "left_semi").select("id", coded("text").alias("tokens"))
+        rows = merged.join(q.select("qid", coded("query").alias("q")), "qid").join(found, "id")
         rows = rows.withColumn("score", fusion.rerank_score("q", "tokens", "fused") if s.rerank else F.col("fused"))
         best = fusion.ranked(rows, s.top_k)
         if s.mmr_lambda < 1:
