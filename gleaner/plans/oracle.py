@@ -119,6 +119,24 @@ def _mmr(k: int) -> str:
     return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT qid, id, CAST({i} AS BIGINT) AS mmr_rank FROM c{i}" for i in range(1, k + 1))
 
 
+_EST = "greatest(1, length({0}) // 4)"
+#: Sentences packed up to 320 tokens, closed at 512; then pieces under 24 tokens folded into the one before.
+_SENTENCE_CHUNKS = f"""WITH RECURSIVE b AS (SELECT doc_id, {_strip('text')} AS body FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, string_split(regexp_replace(body, '([.!?])({_WS}+)([A-Z0-9"''(])', concat('\\1', chr(1), '\\2', chr(2), '\\3'), 'g'), chr(1)) AS parts FROM b WHERE body <> ''),
+        e AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM l),
+        t AS (SELECT doc_id, n, CASE WHEN n = 1 THEN part ELSE split_part(part, chr(2), 2) END AS sentence, length(replace(part, chr(2), '')) AS chars FROM e),
+        o AS MATERIALIZED (SELECT doc_id, n, sentence, sum(chars) OVER (PARTITION BY doc_id ORDER BY n) - length(sentence) AS start FROM t),
+        r AS (SELECT doc_id, n, 0 AS piece, length(sentence) AS held FROM o WHERE n = 1
+            UNION ALL SELECT o.doc_id, o.n, r.piece + CASE WHEN full_ THEN 1 ELSE 0 END, CASE WHEN full_ THEN length(o.sentence) ELSE r.held + 1 + length(o.sentence) END
+            FROM (SELECT r.*, o.sentence AS next, greatest(1, r.held // 4) >= 512 OR greatest(1, r.held // 4) + {_EST.format("o.sentence")} > 320 AS full_ FROM r JOIN o ON o.doc_id = r.doc_id AND o.n = r.n + 1) r JOIN o ON o.doc_id = r.doc_id AND o.n = r.n + 1),
+        p AS MATERIALIZED (SELECT r.doc_id, piece, string_agg(sentence, ' ' ORDER BY r.n) AS text, min(start) AS start FROM r JOIN o ON o.doc_id = r.doc_id AND o.n = r.n GROUP BY ALL),
+        f AS (SELECT doc_id, piece, piece AS chunk_index, {_strip('text')} AS text, start, {_EST.format('text')} AS est FROM p WHERE piece = 0
+            UNION ALL SELECT doc_id, piece, CASE WHEN fold THEN chunk_index ELSE piece END, CASE WHEN fold THEN merged ELSE {_strip('next')} END, CASE WHEN fold THEN start ELSE next_start END, CASE WHEN fold THEN {_EST.format('merged')} ELSE {_EST.format('next')} END
+            FROM (SELECT *, {_EST.format('next')} < 24 AND {_EST.format('merged')} <= 512 AS fold FROM (
+                SELECT f.doc_id, p.piece, f.chunk_index, f.text, f.start, p.text AS next, p.start AS next_start, f.text || ' ' || p.text AS merged FROM f JOIN p ON p.doc_id = f.doc_id AND p.piece = f.piece + 1)))
+        SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, arg_max(text, piece) AS text, CAST(arg_max(start, piece) AS INTEGER) AS char_start, CAST(arg_max(est, piece) AS INTEGER) AS token_estimate FROM f GROUP BY doc_id, chunk_index"""
+
+
 _NUMBER = "CASE WHEN json_type({0}) IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST({0} AS DOUBLE) END"
 _HIT = "(hits -> ('$[' || i || ']'))"
 
@@ -149,6 +167,7 @@ ORACLE: dict[str, str] = {
     "chunk_fixed": f"""WITH b AS (SELECT doc_id, {_strip('text')} AS body FROM documents), n AS (SELECT *, greatest(1, ceil((length(body) - 1280) / 1024) + 1)::INT AS n FROM b WHERE body <> ''),
         e AS (SELECT doc_id, body, unnest(range(n)) AS i FROM n), s AS (SELECT doc_id, i AS chunk_index, i * 1024 AS char_start, substring(body, i * 1024 + 1, 1280) AS text FROM e)
         SELECT * FROM s WHERE {_strip('text')} <> ''""",
+    "chunk_sentence": _SENTENCE_CHUNKS,
     "sentence_split": f"SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?]){_WS}+', concat('\\1', chr(1)), 'g'), chr(1)) AS s FROM documents WHERE text IS NOT NULL)",
     "headings": rf"""SELECT doc_id, len(h) AS n, array_to_string(list_transform(h, lambda x: trim(x)), '|') AS headings FROM
         (SELECT doc_id, regexp_extract_all(regexp_replace(text, '^---([\s\S]*?)\n---{_WS}*', ''), '(?m)^#{{1,6}}\s+(.*)$', 1) AS h FROM documents WHERE text IS NOT NULL) WHERE len(h) > 0""",

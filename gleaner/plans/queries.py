@@ -190,7 +190,7 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_documents(table(spark, d, "documents").select("doc_id", "text"), chunking.ChunkSettings(strategy="sentence"))
+    return chunking.chunk_documents(table(spark, d, "documents").select("doc_id", "text"), chunking.ChunkSettings(strategy="sentence")).drop("chunk_id")
 
 
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
