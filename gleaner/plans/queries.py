@@ -11,7 +11,7 @@ from gleaner.functions import text as tx
 from gleaner.functions import vectors as vx
 from gleaner.functions.ids import stable_id
 from gleaner.operators import answer, chunking, dense, embed, evaluate, fusion, nested, sparse, store
-from gleaner.runtime import shared_dir, table, table_in_shared_dir
+from gleaner.runtime import shared_dir, spread_table, table, table_in_shared_dir
 from gleaner.sources import loaders
 from gleaner.streaming import ingest, ratelimit
 
@@ -78,7 +78,7 @@ def _reranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize_docs(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", tx.tokens("text").alias("t"), "text")
+    t = spread_table(spark, d, "documents").select("doc_id", tx.tokens("text").alias("t"), "text")
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_join(F.slice("t", 1, 8), " ").alias("first"), tx.estimate_tokens("text").cast("long").alias("estimate"))
 
 
@@ -186,15 +186,15 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.fixed_windows(table(spark, d, "documents"), 320, 64)
+    return chunking.fixed_windows(spread_table(spark, d, "documents"), 320, 64)
 
 
 def chunk_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_documents(table(spark, d, "documents").select("doc_id", "text"), chunking.ChunkSettings(strategy="sentence")).drop("chunk_id")
+    return chunking.chunk_documents(spread_table(spark, d, "documents").select("doc_id", "text"), chunking.ChunkSettings(strategy="sentence")).drop("chunk_id")
 
 
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_documents(table(spark, d, "documents").select("doc_id", "text"))
+    return chunking.chunk_documents(spread_table(spark, d, "documents").select("doc_id", "text"))
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:

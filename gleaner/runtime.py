@@ -73,3 +73,10 @@ def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """As ``table``, for work that takes long for each row: a file that can't be cut into enough tasks for half of the cores is
+    spread over all of them. Rows and results are the same; a large table is never shuffled by it."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
