@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import garbled, leakage, nearcopies, neighbours, packing, sharedspans, splitting
-from gleaner.runtime import table
+from gleaner.runtime import spread_table, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return nearcopies.NearCopies(table(spark, d, "chunks"), "chunk_id", "text").pairs("chunk_id_a", "chunk_id_b")
+    return nearcopies.NearCopies(spread_table(spark, d, "chunks"), "chunk_id", "text").pairs("chunk_id_a", "chunk_id_b")
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return nearcopies.NearCopies(table(spark, d, "chunks"), "chunk_id", "text").groups("chunk_id")
+    return nearcopies.NearCopies(spread_table(spark, d, "chunks"), "chunk_id", "text").groups("chunk_id")
 
 
 def _p2(spark: SparkSession, d: str) -> DataFrame:
@@ -44,15 +44,15 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return garbled.garbled(table(spark, d, "documents")).select("doc_id").distinct()
+    return garbled.garbled(spread_table(spark, d, "documents")).select("doc_id").distinct()
 
 
 def p5_restored(spark: SparkSession, d: str) -> DataFrame:
-    return garbled.garbled(table(spark, d, "documents"))
+    return garbled.garbled(spread_table(spark, d, "documents"))
 
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(table(spark, d, "documents"), table(spark, d, "context_windows"))
+    return packing.pack(spread_table(spark, d, "documents"), table(spark, d, "context_windows"))
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -64,19 +64,19 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_pairs(leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_cases")))
+    return leakage.leaked_pairs(leakage.leaked_spans(spread_table(spark, d, "documents"), table(spark, d, "eval_cases")))
 
 
 def p7_documents(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_documents(leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_cases")))
+    return leakage.leaked_documents(leakage.leaked_spans(spread_table(spark, d, "documents"), table(spark, d, "eval_cases")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return sharedspans.SharedSpans(table(spark, d, "documents")).pairs()
+    return sharedspans.SharedSpans(spread_table(spark, d, "documents")).pairs()
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return sharedspans.SharedSpans(table(spark, d, "documents")).shares()
+    return sharedspans.SharedSpans(spread_table(spark, d, "documents")).shares()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
