@@ -108,6 +108,18 @@ def test_embedder_and_cache(spark):
     assert {r.k for r in embed.evict(hits, 2, "hits", "seq").collect()} == {"y", "z"}
 
 
+def test_tables_of_a_session_can_be_dropped(spark):
+    import os
+
+    from gleaner import runtime
+
+    runtime.drop_tables(spark)
+    t = runtime.table_in_shared_dir(spark.range(5), "some")
+    folder = os.path.dirname(t.inputFiles()[0].removeprefix("file://"))
+    assert t.count() == 5 and os.path.isdir(folder)
+    assert runtime.drop_tables(spark) == 1 and not os.path.exists(folder) and runtime.drop_tables(spark) == 0
+
+
 def test_made_up_documents(spark):
     from gleaner.sources import synthetic
 
